@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("names", "neighbours", "groups", "packing", "leaks")
+MODULES = ("names", "newtext", "neighbours", "groups", "packing", "leaks")
 
 
 def _gather(what: str) -> dict:
