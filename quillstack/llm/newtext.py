@@ -275,7 +275,7 @@ def new_text(emails: DataFrame) -> DataFrame:
 
     mails = emails.select("id", "content", "sender", "datetime_utc", F.when(F.col("thread_id").isNotNull(), F.concat(F.lit("t:"), "thread_id")).alias("thread"), subject_key("subject").alias("subject"))
     asked = mails.where("content != ''").select("id", F.coalesce("thread", "subject").alias("place"), refer("content").alias("refs")).where("size(refs) > 0")
-    asked = asked.select("id", F.concat_ws(" ", F.explode("refs"), "place").alias("key"))
+    asked = asked.select("id", "place", F.explode("refs").alias("minute")).select("id", F.concat_ws(" ", "minute", "place").alias("key"))
     offered = mails.where("content != '' and datetime_utc is not null").select(
         F.explode(F.array_distinct(F.array(F.coalesce("thread", "subject"), "subject"))).alias("place"), F.date_format("datetime_utc", "yyyy-MM-dd HH:mm").alias("minute"), "content"
     ).select(F.concat_ws(" ", "minute", "place").alias("key"), F.col("content").alias("ancestor"))
