@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("names", "newtext", "neighbours", "groups", "scans", "packing", "leaks", "abuse")
+MODULES = ("personal", "names", "newtext", "neighbours", "groups", "scans", "packing", "leaks", "abuse")
 
 
 def _gather(what: str) -> dict:
