@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("references",)
+MODULES = ("references", "filters")
 
 
 def _gather(what: str) -> dict:
