@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("references", "filters")
+MODULES = ("references", "filters", "graphs", "joins")
 
 
 def _gather(what: str) -> dict:

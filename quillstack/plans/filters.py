@@ -165,10 +165,10 @@ def scan_normalized_text(t):
     return t.documents.where("text is not null").select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"), X.few_breaks("text").alias("body"))
 
 
-@q("select file_hash, avg(length(text_content)) as mean_chars, avg(length(text_content)) < 1200 as scanned, 1 - least(avg(length(text_content)) / 1000, 1) as doubt from document_chunks where chunk_index < 5 group by file_hash")
+@q("select file_hash, round(avg(length(text_content)), 8) as mean_chars, avg(length(text_content)) < 1200 as scanned, round(1 - least(avg(length(text_content)) / 1000, 1), 8) as doubt from document_chunks where chunk_index < 5 group by file_hash")
 def scan_scanned_files(t):
     mean = F.avg(F.length("text_content"))
-    return t.document_chunks.where("chunk_index < 5").groupBy("file_hash").agg(mean.alias("mean_chars"), (mean < 1200).alias("scanned"), (1 - F.least(mean / 1000, F.lit(1))).alias("doubt"))
+    return t.document_chunks.where("chunk_index < 5").groupBy("file_hash").agg(F.round(mean, 8).alias("mean_chars"), (mean < 1200).alias("scanned"), F.round(1 - F.least(mean / 1000, F.lit(1.0)), 8).alias("doubt"))
 
 
 @q(r"""select doc_id, regexp_extract_all(text, '\[([^\]]*)\]\(([^)]*)\)', 2) as urls, len(regexp_extract_all(text, '(?m)^#{1,6} +')) as n_headings, len(regexp_extract_all(text, '(?m)^[-*+] +')) as n_items from documents where text is not null""")
