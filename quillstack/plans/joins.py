@@ -126,7 +126,7 @@ def join_enriched_hits(t):
     return both.select("id", "content_id", F.coalesce("title", "subject", F.lit("unknown")).alias("title"), F.when(F.col("c").isNotNull(), "content").when(F.col("m").isNotNull(), "mail").otherwise("none").alias("found_in"))
 
 
-@q("with s as (select epoch(created_at)::bigint as sec, count(*) as n from content_unified where created_at is not null group by 1) select a.sec as at_second, a.n, ((select sum(b.n) from s b where b.sec between a.sec and a.sec + 86400) - 1)::bigint as later from s a")
+@q("with s as (select floor(epoch(created_at))::bigint as sec, count(*) as n from content_unified where created_at is not null group by 1) select a.sec as at_second, a.n, ((select sum(b.n) from s b where b.sec between a.sec and a.sec + 86400) - 1)::bigint as later from s a")
 def join_within_a_day(t):
     return O.within_seconds(t.content_unified, "created_at")
 
