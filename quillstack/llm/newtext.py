@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from datetime import datetime
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -203,7 +204,7 @@ def quoted_lines(lines: list[str], ancestors: list[str]) -> list[bool]:
             k = j  # plain quotation: as far as the ancestors' words go
             while k < n:
                 if counts[k] and share[k] < INHERITED and not _PREFIX.match(lines[k]) and intro_end(lines, k) == k:
-                    ahead = [share[x] for x in range(k + 1, n) if counts[x]][:3]
+                    ahead = list(islice((share[x] for x in range(k + 1, n) if counts[x]), 3))
                     if not any(s >= INHERITED for s in ahead):
                         break
                 gone[k] = True
@@ -220,13 +221,15 @@ def ends_segment(lines: list[str], some: list[int], names: set[str]) -> int:
     cut = len(some)
     for k, i in enumerate(some):
         line = lines[i]
-        rest = [x for x in some[k + 1 :] if lines[x].strip()]
-        if _DASHES.match(line) or _CLOSING.match(line) and len(rest) <= 14 and (not rest or len(lines[rest[0]].strip()) <= 60):
-            cut = k
-            break
-        if _FOOTER.match(line) or _RULE.match(line) and rest and _FOOTER.match(lines[rest[0]]):
+        if _DASHES.match(line) or _FOOTER.match(line):
             cut = k
             break
+        if _CLOSING.match(line) or _RULE.match(line):
+            rest = list(islice((x for x in some[k + 1 :] if lines[x].strip()), 15))
+            closes = len(rest) <= 14 and (not rest or len(lines[rest[0]].strip()) <= 60)
+            if closes if _CLOSING.match(line) else rest and _FOOTER.match(lines[rest[0]]):
+                cut = k
+                break
     # A lone name of the sender before that is a sign-off.
     k = cut - 1
     while k >= 0 and not lines[some[k]].strip():
