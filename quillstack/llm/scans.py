@@ -90,6 +90,10 @@ def line_features(line: str, seen: int) -> list[str]:
     return out
 
 
+#: Layouts that furniture shows; a line with none of them is text.
+FURNITURE = {"small_number", "roman", "dashed_number", "page_word", "stamp", "ruled", "fraction", "docket", "case_no", "versus", "in_re", "title_dash", "gap", "gap_number", "caps", "again"}
+
+
 def shape(line: str) -> str:
     return re.sub(r"\d+", "9", re.sub(r"\s+", " ", line.strip().lower()))
 
@@ -207,7 +211,9 @@ def label_lines(pages: list[list[str]], model: Chain) -> list[np.ndarray]:
             out[k] = np.where(blank, 0, np.where(g == 0, 1, g))
             for i in np.flatnonzero(~blank):  # layouts that admit one reading only
                 feats = units[rows[k][i]]
-                if out[k][i] == 3 and "stop" in feats and not {"page_word", "case_no", "versus", "in_re", "title_dash", "gap_number", "dashed_number"} & set(feats):
+                if out[k][i] == 3 and not FURNITURE & set(feats):
+                    out[k][i] = 1
+                elif out[k][i] == 3 and "stop" in feats and not {"page_word", "case_no", "versus", "in_re", "title_dash", "gap_number", "dashed_number"} & set(feats):
                     out[k][i] = 1
                 elif out[k][i] == 3 and "caps" in feats and not {"versus", "in_re", "title_dash", "gap_number", "stamp", "docket", "page_word", "case_no", "ruled"} & set(feats):
                     out[k][i] = 2
