@@ -20,7 +20,7 @@ def header(name: str) -> Column:
 def decoded(c: Column) -> Column:
     """URL-safe base64 to text; undecodable data is null."""
     raw = F.translate(c, "-_", "+/")
-    return F.decode(F.try_to_binary(raw, F.lit("base64")), F.lit("UTF-8"))
+    return F.decode(F.try_to_binary(raw, F.lit("base64")), "UTF-8")
 
 
 def parsed_messages(raw: DataFrame) -> DataFrame:
