@@ -20,6 +20,8 @@ from quillstack.operators.skew import many_to_one
 
 #: Words of a shingle, similarity from which texts are near, bands and rows of the sketch (finds 0.8 with probability 0.9997).
 SHINGLE, NEAR, BANDS, ROWS = 5, 0.8, 20, 5
+#: Texts of a band that are compared all with all.
+SMALL = 50
 _PRIME = np.uint64((1 << 31) - 1)
 _A = np.array([(k * 2654435761 + 97) % ((1 << 31) - 2) + 1 for k in range(1, BANDS * ROWS + 1)], np.uint64)
 _B = np.array([(k * 40503 + 12345) % ((1 << 31) - 1) for k in range(1, BANDS * ROWS + 1)], np.uint64)
@@ -46,9 +48,10 @@ def shingles(text: str) -> np.ndarray:
 def near_copies(docs: DataFrame, least: float = NEAR) -> DataFrame:
     """(id, group_id): documents (id, text) grouped by near equality; group_id is the least id of the group.
 
-    Distinct texts that share a band are compared exactly by the share of common shingles. A band shared by many texts is compared
-    against its least member and its neighbours in order of id, which keeps the group connected without all pairs; the verified links
-    are grouped as components. Documents without words, or without a near copy, are groups of their own.
+    Distinct texts that share a band are compared exactly by the share of common shingles: all of them where at most SMALL share it; in a
+    larger band every text is compared with the least and with the next one in order of id, so that work stays in proportion. A text
+    meets its copies in up to BANDS bands. The verified links are grouped as components. Documents without words, or without a near
+    copy, are groups of their own.
     """
     spark = docs.sparkSession
     keep = scratch(spark, "copies")
@@ -72,9 +75,12 @@ def near_copies(docs: DataFrame, least: float = NEAR) -> DataFrame:
     bands = keep.keep(distinct.mapInPandas(sketch, "id long, band int, key long"))
     low = bands.groupBy("band", "key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     order = F.lead("id").over(Window.partitionBy("band", "key").orderBy("id"))
-    shared = bands.join(low.select("band", "key", "first"), ["band", "key"]).withColumn("after", order)
-    pairs = shared.select(F.col("id").alias("b"), F.explode(F.array("first", "after")).alias("a")).where("a is not null and a <> b")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    shared = keep.keep(bands.join(low, ["band", "key"]))
+    few = shared.where(F.col("n") <= SMALL)
+    all_pairs = few.select("band", "key", F.col("id").alias("a")).join(few.select("band", "key", F.col("id").alias("b")), ["band", "key"]).where("a < b").select("a", "b")
+    many = shared.where(F.col("n") > SMALL).withColumn("after", order)
+    chained = many.select(F.col("id").alias("b"), F.explode(F.array("first", "after")).alias("a")).where("a is not null and a <> b")
+    pairs = keep.keep(all_pairs.unionByName(chained.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
     texts = distinct.select("id", "text")
     both = many_to_one(many_to_one(pairs, texts.withColumnRenamed("id", "a").withColumnRenamed("text", "ta"), "a"), texts.withColumnRenamed("id", "b").withColumnRenamed("text", "tb"), "b")
 
