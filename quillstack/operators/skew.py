@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1 / 64
 
 
-def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+def join_hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     """Keys with more than ``share`` of all non-null keys: at most ``1 / share`` rows, so always safe to broadcast.
 
     Counts are combined on the map side, so a hot key moves one partial count per task.
     """
-    counts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("hot_key")).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("join_hot_key")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("n") > F.col("total") * share).select("hot_key")
+    return counts.crossJoin(F.broadcast(total)).where(F.col("n") > F.col("total") * share).select("join_hot_key")
 
 
 def many_to_one(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", salt: int = 16) -> DataFrame:
@@ -26,12 +26,12 @@ def many_to_one(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner"
     ``how`` is inner or left. A null key finds no partner. Salts follow the row's content, so a retried task gives the same rows.
     """
     others = [c for c in rows.columns if c != key]
-    hot = F.broadcast(hot_keys(rows, key))
+    hot = F.broadcast(join_hot_keys(rows, key))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in others]), F.lit(salt)).cast("int") if others else F.lit(0)
-    left = rows.join(hot, F.col(key) == F.col("hot_key"), "left").withColumn(
-        "salt", F.when(F.col("hot_key").isNotNull(), spread).otherwise(F.lit(0))
-    ).drop("hot_key")
-    right = lookup.join(hot, F.col(key) == F.col("hot_key"), "left").withColumn(
-        "salt", F.explode(F.when(F.col("hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0))))
-    ).drop("hot_key")
-    return left.join(right, [key, "salt"], how).drop("salt")
+    left = rows.join(hot, F.col(key) == F.col("join_hot_key"), "left").withColumn(
+        "join_salt", F.when(F.col("join_hot_key").isNotNull(), spread).otherwise(F.lit(0))
+    ).drop("join_hot_key")
+    right = lookup.join(hot, F.col(key) == F.col("join_hot_key"), "left").withColumn(
+        "join_salt", F.explode(F.when(F.col("join_hot_key").isNotNull(), F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0))))
+    ).drop("join_hot_key")
+    return left.join(right, [key, "join_salt"], how).drop("join_salt")
