@@ -9,11 +9,6 @@ from __future__ import annotations
 import numpy as np
 
 
-def _spread(x: np.ndarray) -> np.ndarray:
-    top = x.max(-1, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(-1, keepdims=True)))[..., 0]
-
-
 class Chain:
     """``offsets`` are the neighbours looked at; features unknown in training have no weight."""
 
@@ -54,40 +49,24 @@ class Chain:
     def fit(self, units: list[list[str]], seq: np.ndarray, gold: np.ndarray, rounds: int = 60, rate: float = 0.15, ridge: float = 1e-3) -> Chain:
         """Adam on the whole set. ``seq`` holds unit ids (0 pads), ``gold`` label numbers."""
         ids, owner = self.flat(units, grow=True)
-        n, L, (s, t) = len(units), len(self.labels), seq.shape
+        n, L = len(units), len(self.labels)
         self.weights = np.zeros((len(self.offsets), len(self.index), L))
         self.moves, self.first = np.zeros((L, L)), np.zeros(L)
-        live = seq > 0
-        size = live.sum()
-        last = live.sum(1) - 1
-        reach = max(abs(o) for o in self.offsets)
-        want = np.eye(L)[gold] * live[:, :, None]
-        pairs = np.einsum("sti,stj->ij", want[:, :-1], want[:, 1:])
+        lengths = (seq > 0).sum(1)
+        size = lengths.sum()
+        order = np.argsort(lengths, kind="stable")
+        parts = [(seq[k, : lengths[k].max()], np.eye(L, dtype=np.float32)[gold[k, : lengths[k].max()]] * (seq[k, : lengths[k].max()] > 0)[:, :, None]) for k in np.array_split(order, 6) if len(k)]
         state = [np.zeros_like(p) for p in (self.weights, self.moves, self.first) for _ in range(2)]
-        rows = np.arange(s)
         for r in range(1, rounds + 1):
-            e = self.emissions(self.tables(ids, owner, n), seq)
-            a, b = np.zeros((s, t, L)), np.zeros((s, t, L))
-            a[:, 0] = e[:, 0] + self.first
-            for i in range(1, t):
-                step = e[:, i] + _spread((a[:, i - 1, None, :] + self.moves.T[None]))
-                a[:, i] = np.where(live[:, i, None], step, a[:, i - 1])
-            for i in range(t - 2, -1, -1):
-                step = _spread(self.moves[None] + (e[:, i + 1] + b[:, i + 1])[:, None, :])
-                b[:, i] = np.where(live[:, i + 1, None], step, 0)
-            z = _spread(a[rows, last])
-            p = np.exp(a + b - z[:, None, None]) * live[:, :, None]
-            both = np.exp(a[:, :-1, :, None] + self.moves[None, None] + (e[:, 1:] + b[:, 1:])[:, :, None, :] - z[:, None, None, None]) * live[:, 1:, None, None]
-            d = (p - want) / size
-            grad = np.zeros_like(self.weights)
-            wide = np.zeros((s, t + 2 * reach), seq.dtype)
-            wide[:, reach : reach + t] = seq
-            for k, o in enumerate(self.offsets):
-                near = wide[:, reach + o : reach + o + t].ravel()
+            table = self.tables(ids, owner, n).astype(np.float32)
+            grad, moves, first = np.zeros_like(self.weights), np.zeros_like(self.moves), np.zeros_like(self.first)
+            unit = np.zeros((len(self.offsets), n, L))
+            for some, want in parts:  # sequences of like length together
+                self.expected(table, some, want, unit, moves, first)
+            for k in range(len(self.offsets)):
                 for j in range(L):
-                    du = np.bincount(near, d[:, :, j].ravel(), n)
-                    grad[k, :, j] = np.bincount(ids, du[owner], len(self.index))
-            grads = (grad + ridge * self.weights / 10, (both.sum((0, 1)) - pairs) / size + ridge * self.moves, (p[:, 0] - want[:, 0]).sum(0) / size)
+                    grad[k, :, j] = np.bincount(ids, unit[k, owner, j], len(self.index))
+            grads = (grad / size + ridge * self.weights / 10, moves / size + ridge * self.moves, first / size)
             for k, (x, g) in enumerate(zip((self.weights, self.moves, self.first), grads)):
                 m, v = state[2 * k], state[2 * k + 1]
                 m += 0.1 * (g - m)
@@ -96,6 +75,38 @@ class Chain:
         self.weights = self.weights.astype(np.float32)
         return self
 
+    def expected(self, table: np.ndarray, seq: np.ndarray, want: np.ndarray, unit: np.ndarray, moves: np.ndarray, first: np.ndarray) -> None:
+        """Add expected minus wanted counts of units, moves and first labels (forward-backward, scaled at each step)."""
+        s, t = seq.shape
+        L, live = len(self.labels), seq > 0
+        e = self.emissions(table, seq).astype(np.float32)
+        top = e.max(2, keepdims=True)
+        p_e, p_m = np.exp(e - top), np.exp(self.moves).astype(np.float32)
+        a, b = np.empty((s, t, L), np.float32), np.ones((s, t, L), np.float32)
+        x = p_e[:, 0] * np.exp(self.first).astype(np.float32)
+        a[:, 0] = x / x.sum(1, keepdims=True)
+        for i in range(1, t):
+            x = (a[:, i - 1] @ p_m) * p_e[:, i]
+            a[:, i] = np.where(live[:, i, None], x / x.sum(1, keepdims=True), a[:, i - 1])
+        for i in range(t - 2, -1, -1):
+            x = (p_e[:, i + 1] * b[:, i + 1]) @ p_m.T
+            b[:, i] = np.where(live[:, i + 1, None], x / x.sum(1, keepdims=True), 1.0)
+        p = a * b
+        p = p / p.sum(2, keepdims=True) * live[:, :, None]
+        ahead = p_e[:, 1:] * b[:, 1:]
+        both = np.einsum("sti,ij,stj->st", a[:, :-1], p_m, ahead)
+        scale = np.divide(live[:, 1:], both, out=np.zeros_like(both), where=both > 0)
+        moves += np.einsum("sti,stj->ij", a[:, :-1] * scale[:, :, None], ahead) * p_m - np.einsum("sti,stj->ij", want[:, :-1], want[:, 1:])
+        first += (p[:, 0] - want[:, 0]).sum(0)
+        d = p - want
+        reach = max(abs(o) for o in self.offsets)
+        wide = np.zeros((s, t + 2 * reach), seq.dtype)
+        wide[:, reach : reach + t] = seq
+        for k, o in enumerate(self.offsets):
+            near = wide[:, reach + o : reach + o + t].ravel()
+            for j in range(L):
+                unit[k, :, j] += np.bincount(near, d[:, :, j].ravel(), unit.shape[1])
+
     def decode(self, table: np.ndarray, seq: np.ndarray) -> np.ndarray:
         """Viterbi over padded sequences: label numbers."""
         s, t = seq.shape
