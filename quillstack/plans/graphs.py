@@ -110,9 +110,9 @@ def graph_induced(t):
     return G.induced(edges(t), t.content_unified.where("source_type = 'email_message'")).select("src", "dst", "strength")
 
 
-@q(W + "select src as source, dst as target, round(strength * 10, 1) as width, relation from e")
+@q(W + "select src as source, dst as target, round(strength * 10, 6) as width, relation from e")
 def graph_links(t):
-    return edges(t).select(F.col("src").alias("source"), F.col("dst").alias("target"), F.round(F.col("strength") * 10, 1).alias("width"), "relation")
+    return edges(t).select(F.col("src").alias("source"), F.col("dst").alias("target"), F.round(F.col("strength") * 10, 6).alias("width"), "relation")
 
 
 @q("""with recursive e as (select distinct least(a, b) as src, greatest(a, b) as dst from (select try_cast(trim(content_id_1) as bigint) as a, try_cast(trim(content_id_2) as bigint) as b from similarity_cache where similarity_score >= 0.85) where a <> b),

@@ -100,11 +100,11 @@ def integrity_counts(t):
     return out
 
 
-@q("select 'content' as tab, count(*) as n_keys, sum(n - 1)::bigint as surplus from (select source_type, source_id, count(*) as n from content_unified group by 1, 2 having count(*) > 1) union all select 'chunks', count(*), sum(n - 1)::bigint from (select chunk_id, count(*) as n from document_chunks group by 1 having count(*) > 1) union all select 'mails', count(*), sum(n - 1)::bigint from (select message_id, count(*) as n from emails group by 1 having count(*) > 1)")
+@q("select 'content' as tab, count(*) as n_keys, coalesce(sum(n - 1), 0)::bigint as surplus from (select source_type, source_id, count(*) as n from content_unified group by 1, 2 having count(*) > 1) union all select 'chunks', count(*), coalesce(sum(n - 1), 0)::bigint from (select chunk_id, count(*) as n from document_chunks group by 1 having count(*) > 1) union all select 'mails', count(*), coalesce(sum(n - 1), 0)::bigint from (select message_id, count(*) as n from emails group by 1 having count(*) > 1)")
 def integrity_duplicates(t):
     def one(name, rows, keys):
         d = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
-        return d.agg(F.count("*").alias("n_keys"), F.sum(F.col("n") - 1).alias("surplus")).select(F.lit(name).alias("tab"), "n_keys", "surplus")
+        return d.agg(F.count("*").alias("n_keys"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus")).select(F.lit(name).alias("tab"), "n_keys", "surplus")
 
     return one("content", t.content_unified, ["source_type", "source_id"]).unionByName(one("chunks", t.document_chunks, ["chunk_id"])).unionByName(one("mails", t.emails, ["message_id"]))
 
