@@ -36,11 +36,32 @@ def adjacent_relations(mentions: DataFrame, mails: DataFrame, reach: int = 100)
     nxt = lambda c: F.lead(c).over(w)
     pairs = mentions.where("start is not null and end is not null").withColumns({"target": nxt("text"), "next_start": nxt("start"), "next_confidence": nxt("confidence")})
     pairs = pairs.where(F.col("next_start") - F.col("end") >= 0).where(F.col("next_start") - F.col("end") <= reach)
+    return told_relations(pairs, mails)
+
+
+def told_relations(pairs: DataFrame, mails: DataFrame) -> DataFrame:
+    """(message_id, source, target, relation, confidence) of pairs of mentions, by the text between them; mentions that overlap have none."""
     both = pairs.join(mails.select("message_id", "content"), "message_id")
-    between = F.substring("content", F.col("end") + 1, F.col("next_start") - F.col("end"))
-    relation = relation_of(between)
+    gap = F.greatest(F.lit(0), F.col("next_start") - F.col("end"))
+    relation = relation_of(F.substring("content", F.col("end") + 1, gap))
     base = F.least(F.coalesce("confidence", F.lit(0.5)), F.coalesce("next_confidence", F.lit(0.5)))
-    return both.select("message_id", F.col("text").alias("source"), "target", relation.alias("relation"), F.round(relation_confidence(base, F.col("next_start") - F.col("end"), relation != "mentioned_with"), 6).alias("confidence"))
+    return both.select("message_id", F.col("text").alias("source"), "target", relation.alias("relation"), F.round(relation_confidence(base, gap, relation != "mentioned_with"), 6).alias("confidence"))
+
+
+def near_relations(mentions: DataFrame, mails: DataFrame, reach: int = 100) -> DataFrame:
+    """As ``adjacent_relations``, but each mention with every later one (by start, end, text) of its mail that starts at most ``reach`` characters behind its end.
+
+    Mentions that overlap are related too. A mention meets the stretches of ``reach`` characters from its start to the end of its reach,
+    a later one lies in the stretch of its start, so pairs out of reach are not built.
+    """
+    m = mentions.where("start is not null and end is not null")
+    last = F.least(F.col("end") + reach, F.max("start").over(Window.partitionBy("message_id")))
+    stretch = lambda c: F.floor(c / reach)
+    left = m.withColumn("last", last).where("last >= start").withColumn("stretch", F.explode(F.sequence(stretch(F.col("start")), stretch(F.col("last")))))
+    right = m.select("message_id", F.col("text").alias("target"), F.col("start").alias("next_start"), F.col("end").alias("next_end"), F.col("confidence").alias("next_confidence"), stretch(F.col("start")).alias("stretch"))
+    later = F.struct("next_start", "next_end", "target") > F.struct("start", "end", "text")
+    pairs = left.join(right, ["message_id", "stretch"]).where(later & (F.col("next_start") - F.col("end") <= reach))
+    return told_relations(pairs, mails)
 
 
 def best_relations(relations: DataFrame) -> DataFrame:

@@ -19,11 +19,15 @@ r as (select message_id, text as source, target, case when regexp_matches(betwee
   when regexp_matches(between, '(?i)\b(signed|both)\b') then 'signed_with' when regexp_matches(between, '(?i)\b(asked|told|wrote|called|met)\b') then 'communicates' else 'mentioned_with' end as relation, least(coalesce(c, 0.5), coalesce(nc, 0.5)) as base, ns - e as gap from b)"""
 
 
-def relations(t):
+def mentions_and_mails(t):
     mails = t.emails.where("content is not null").groupBy("message_id").agg(F.min("content").alias("content"))
     m = t.email_entities.where("entity_type in ('PERSON', 'ORG')").select("message_id", F.col("entity_text").alias("text"), F.col("start_char").alias("start"), F.col("end_char").alias("end"), "confidence").distinct()
     m = m.groupBy("message_id", "text", "start", "end").agg(F.max("confidence").alias("confidence"))
-    return R.adjacent_relations(m, mails)
+    return m, mails
+
+
+def relations(t):
+    return R.adjacent_relations(*mentions_and_mails(t))
 
 
 @q(_ADJ.replace("confidence as c from email_entities", "max(confidence) as c from email_entities").replace("and end_char is not null)", "and end_char is not null group by all)").replace("order by s, e, text, c)", "order by s, e, text)").replace("select distinct message_id, entity_text", "select message_id, entity_text") + " select source, target, relation, max(round(greatest(0.1, least(1.0, base - least(0.2, gap / 500.0) + case when relation <> 'mentioned_with' then 0.1 else 0 end)), 6)) as confidence, count(*) as n from r group by 1, 2, 3")
@@ -31,6 +35,18 @@ def relation_best(t):
     return R.best_relations(relations(t))
 
 
+@q(r"""with mails as (select message_id, min(content) as content from emails where content is not null group by 1),
+m as (select message_id, entity_text as text, start_char as s, end_char as e, max(confidence) as c from email_entities where entity_type in ('PERSON', 'ORG') and start_char is not null and end_char is not null group by all),
+b as (select a.text as source, z.text as target, least(coalesce(a.c, 0.5), coalesce(z.c, 0.5)) as base, greatest(0, z.s - a.e) as gap, substr(content, (a.e + 1)::bigint, greatest(0, z.s - a.e)::bigint) as between
+  from m a join m z on a.message_id = z.message_id and (z.s > a.s or z.s = a.s and (z.e > a.e or z.e = a.e and z.text > a.text)) and z.s - a.e <= 100 join mails on mails.message_id = a.message_id),
+r as (select *, case when regexp_matches(between, '(?i)\b(represent|counsel for|on behalf of|attorney)') then 'represents' when regexp_matches(between, '(?i)\b(versus|v\.|against|sued)\b') then 'opposes' when regexp_matches(between, '(?i)\b(employ|works (for|at)|somebody from)\b') then 'employs'
+  when regexp_matches(between, '(?i)\b(signed|both)\b') then 'signed_with' when regexp_matches(between, '(?i)\b(asked|told|wrote|called|met)\b') then 'communicates' else 'mentioned_with' end as relation from b)
+select source, target, relation, max(round(greatest(0.1, least(1.0, base - least(0.2, gap / 500.0) + case when relation <> 'mentioned_with' then 0.1 else 0 end)), 6)) as confidence, count(*) as n from r group by 1, 2, 3""")
+def relation_near(t):
+    """Every pair of mentions of a mail within 100 characters; ``relation_best`` has the next mention only."""
+    return R.best_relations(R.near_relations(*mentions_and_mails(t)))
+
+
 @q(r"""with s as (select id, trim(regexp_replace(entity_text, '(?i),? (esq|jr|sr)\.?$', '')) as s from email_entities where entity_type = 'PERSON' and entity_text is not null),
 p as (select id, case when contains(s, ',') then trim(split_part(s, ',', 1)) else regexp_extract(s, '([^ ]+)$', 1) end as surname, trim(case when contains(s, ',') then split_part(s, ',', 2) else regexp_extract(s, '^(.*) [^ ]+$', 1) end) as rest from s)
 select id, lower(regexp_extract(rest, '^([^ .]+)', 1)) as given, regexp_replace(regexp_extract(rest, '((?:[A-Z]\. ?)+)$', 1), '[ .]', '', 'g') as initials, lower(surname) as surname from p""")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstack.functions import dates, text
-from quillstack.operators import copies, filters, graph, mail, references, skew, spans, summaries, upserts, vectors, windows
+from quillstack.operators import copies, filters, graph, mail, references, relations, skew, spans, summaries, upserts, vectors, windows
 from quillstack.operators.lineage import scratch
 
 CHUNK = "chunk_id string, sha256 string, processed_at timestamp_ntz, ref_table string, key string, n int"
@@ -182,3 +182,12 @@ def test_uuid5_and_dates(frame):
     got = frame("s string", ("email:1",)).select(text.uuid5("s").alias("u")).first()["u"]
     assert got == str(uuid.uuid5(uuid.NAMESPACE_DNS, "email:1"))
     assert dates.relative_date("3 days ago", DAY) == datetime(2023, 12, 29) and dates.relative_date("last month", DAY) == datetime(2023, 12, 1) and dates.relative_date("whenever") is None
+
+
+def test_near_relations_meet_every_mention_within_reach(frame):
+    mentions = frame("message_id string, text string, start int, end int, confidence double", ("m", "A", 0, 5, 0.9), ("m", "B", 10, 130, 0.9), ("m", "C", 12, 20, None), ("m", "D", 105, 110, 0.9), ("m", "E", 231, 240, 0.9), ("m", "F", 230, 231, 0.9), ("o", "G", 10, 12, 0.9), ("m", "H", None, None, 0.9))
+    mails = frame("message_id string, content string", ("m", "x" * 300), ("o", "y"))
+    got = {(r["source"], r["target"]) for r in relations.near_relations(mentions, mails).collect()}
+    parts = [("A", 0, 5), ("B", 10, 130), ("C", 12, 20), ("D", 105, 110), ("F", 230, 231), ("E", 231, 240)]
+    assert got == {(a, b) for i, (a, _, e) in enumerate(parts) for b, s, _ in parts[i + 1 :] if s - e <= 100}
+    assert {("A", "C"), ("B", "C"), ("A", "D"), ("B", "F")} <= got and ("B", "E") not in got
