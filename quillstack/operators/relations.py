@@ -84,40 +84,64 @@ def spelling_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype=float)
 
 
-#: Most vectors of one ward clustering, whose matrix is quadratic.
-MOST_WARD = 4000
-
-
 def ward_clusters(vectors: DataFrame, by: str, cut: float = 1.0) -> DataFrame:
     """(by, id, cluster): ward clustering of every group's vectors, cut at merge distance ``cut``; clusters are named by their least id.
 
-    A group of more than MOST_WARD vectors is dealt by hash to parts that are clustered one by one.
+    Chains of nearest neighbours over (size, centroid) of the whole group find the merges of the full distance matrix without building it:
+    memory in proportion to the group's vectors, time to the square of their number. A cluster whose nearest one is further than ``cut``
+    is done, as no later merge brings another nearer.
     """
-    sizes = vectors.groupBy(by).agg(F.ceil(F.count("*") / MOST_WARD).cast("int").alias("parts"))
-    dealt = vectors.join(sizes, by).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
         x = np.stack(group["vector"].to_numpy()).astype(float)
-        n = len(x)
-        d = np.maximum(0, ((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T))
-        np.fill_diagonal(d, np.inf)
-        size, label, live = np.ones(n), np.arange(n), np.ones(n, bool)
-        while live.sum() > 1:
-            i, j = divmod(int(d.argmin()), n)
-            if not np.sqrt(d[i, j]) <= cut:
-                break
-            i, j = min(i, j), max(i, j)
-            k = live.copy()
-            k[[i, j]] = False
-            t = size[i] + size[j] + size[k]
-            d[i, k] = d[k, i] = ((size[i] + size[k]) * d[i, k] + (size[j] + size[k]) * d[j, k] - size[k] * d[i, j]) / t
-            size[i] += size[j]
-            live[j] = False
-            d[j], d[:, j] = np.inf, np.inf
-            label[label == j] = i
+        x -= x.mean(0)  # the expanded squares below lose fewer digits
+        label = ward_labels(x, cut)
         ids = group["id"].to_numpy()
         return pd.DataFrame({by: group[by], "id": ids, "cluster": ids[label]})
 
     kind = vectors.schema[by].dataType.simpleString()
-    return dealt.groupBy(by, "part").applyInPandas(cluster, f"{by} {kind}, id long, cluster long")
+    return vectors.groupBy(by).applyInPandas(cluster, f"{by} {kind}, id long, cluster long")
+
+
+def ward_labels(x: np.ndarray, cut: float) -> np.ndarray:
+    """The least row of the ward cluster of every row of ``x`` (changed in place), merges up to distance ``cut``."""
+    n = len(x)
+    size, square, label = np.ones(n), (x**2).sum(1), np.arange(n)
+    at = np.arange(n)  # the cluster (its least row) in each place; places from ``live`` on are done or merged
+    live, chain = n, []
+
+    def leave(p: int) -> None:
+        nonlocal live
+        live -= 1
+        for v in (x, size, square, at):
+            v[p] = v[live]
+        for k, c in enumerate(chain):
+            if c == live:
+                chain[k] = p
+
+    while live > 1:
+        if not chain:
+            chain.append(int(at[:live].argmin()))
+        tip = chain[-1]
+        d = np.maximum(0, square[:live] + square[tip] - 2 * (x[:live] @ x[tip])) * (2 * size[tip] * size[:live] / (size[tip] + size[:live]))
+        d[tip] = np.inf
+        near = int(d.argmin())
+        if len(chain) > 1 and d[chain[-2]] <= d[near]:
+            near = chain[-2]
+        if not np.sqrt(d[near]) <= cut:
+            chain.pop()
+            leave(tip)
+        elif len(chain) > 1 and near == chain[-2]:
+            del chain[-2:]
+            i, j = (tip, near) if at[tip] < at[near] else (near, tip)
+            x[i] = (size[i] * x[i] + size[j] * x[j]) / (size[i] + size[j])
+            size[i] += size[j]
+            square[i] = x[i] @ x[i]
+            label[at[j]] = at[i]
+            leave(j)
+        else:
+            chain.append(near)
+    for r in range(n):  # labels point to lower rows, which are settled
+        label[r] = label[label[r]]
+    return label

@@ -191,3 +191,27 @@ def test_near_relations_meet_every_mention_within_reach(frame):
     parts = [("A", 0, 5), ("B", 10, 130), ("C", 12, 20), ("D", 105, 110), ("F", 230, 231), ("E", 231, 240)]
     assert got == {(a, b) for i, (a, _, e) in enumerate(parts) for b, s, _ in parts[i + 1 :] if s - e <= 100}
     assert {("A", "C"), ("B", "C"), ("A", "D"), ("B", "F")} <= got and ("B", "E") not in got
+
+
+def test_ward_clusters_of_a_large_label_are_whole(spark):
+    df = spark.range(4500).selectExpr("id", "1 as label", "array(float(id % 3 * 9), float(id % 7 / 1e5)) as vector")
+    got = {r["id"]: r["cluster"] for r in relations.ward_clusters(df, "label", 1.2).collect()}
+    assert got == {i: i % 3 for i in range(4500)}
+
+
+def test_ward_labels_against_the_matrix():
+    def by_matrix(x, cut):
+        groups = [[i] for i in range(len(x))]
+        far = lambda a, b: np.sqrt(2 * len(a) * len(b) / (len(a) + len(b))) * np.linalg.norm(x[a].mean(0) - x[b].mean(0))
+        while len(groups) > 1:
+            d, i, j = min((far(a, b), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j)
+            if d > cut:
+                break
+            groups[i] += groups.pop(j)
+        return [min(g) for i in range(len(x)) for g in groups if i in g]
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 17, 30):
+        x = rng.normal(size=(n, 3))
+        for cut in (0.5, 1.2, 3.0):
+            assert relations.ward_labels(x.copy(), cut).tolist() == by_matrix(x, cut)
