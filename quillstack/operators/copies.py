@@ -22,6 +22,8 @@ from quillstack.operators.skew import many_to_one
 SHINGLE, NEAR, BANDS, ROWS = 5, 0.8, 20, 5
 #: Texts of a band that are compared all with all.
 SMALL = 50
+#: Rare shingles of a text of a large band by which it meets others first.
+EARLY = 8
 _PRIME = np.uint64((1 << 31) - 1)
 _A = np.array([(k * 2654435761 + 97) % ((1 << 31) - 2) + 1 for k in range(1, BANDS * ROWS + 1)], np.uint64)
 _B = np.array([(k * 40503 + 12345) % ((1 << 31) - 1) for k in range(1, BANDS * ROWS + 1)], np.uint64)
@@ -48,10 +50,11 @@ def shingles(text: str) -> np.ndarray:
 def near_copies(docs: DataFrame, least: float = NEAR) -> DataFrame:
     """(id, group_id): documents (id, text) grouped by near equality; group_id is the least id of the group.
 
-    Distinct texts that share a band are compared exactly by the share of common shingles: all of them where at most SMALL share it; in a
-    larger band every text is compared with the least and with the next one in order of id, so that work stays in proportion. A text
-    meets its copies in up to BANDS bands. The verified links are grouped as components. Documents without words, or without a near
-    copy, are groups of their own.
+    Distinct texts that share a band are compared exactly by the share of common shingles: all of them where at most SMALL share it. In a
+    larger band every text first meets the least and the next one in order of id, and so among those that share one of its rare shingles;
+    the verified links are grouped as components. Then texts of large bands that are still in different components are compared wherever
+    they can be near (``near_by_prefix``), so that no link between components is missing. Documents without words, or without a near copy,
+    are groups of their own.
     """
     spark = docs.sparkSession
     keep = scratch(spark, "copies")
@@ -73,16 +76,16 @@ def near_copies(docs: DataFrame, least: float = NEAR) -> DataFrame:
             yield pd.DataFrame({"id": ids, "band": np.array(bands, np.int32), "key": np.array(keys, np.int64)})
 
     bands = keep.keep(distinct.mapInPandas(sketch, "id long, band int, key long"))
-    low = bands.groupBy("band", "key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    order = F.lead("id").over(Window.partitionBy("band", "key").orderBy("id"))
+    low = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = keep.keep(bands.join(low, ["band", "key"]))
     few = shared.where(F.col("n") <= SMALL)
-    all_pairs = few.select("band", "key", F.col("id").alias("a")).join(few.select("band", "key", F.col("id").alias("b")), ["band", "key"]).where("a < b").select("a", "b")
-    many = shared.where(F.col("n") > SMALL).withColumn("after", order)
-    chained = many.select(F.col("id").alias("b"), F.explode(F.array("first", "after")).alias("a")).where("a is not null and a <> b")
-    pairs = keep.keep(all_pairs.unionByName(chained.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+    pairs = few.select("band", "key", F.col("id").alias("a")).join(few.select("band", "key", F.col("id").alias("b")), ["band", "key"]).where("a < b").select("a", "b")
+    many = shared.where(F.col("n") > SMALL)
+    large = None if many.isEmpty() else keep.keep(prefixes(distinct.join(many, "id", "left_semi"), least))
+    if large is not None:
+        pairs = pairs.unionByName(chained(many, "band", "key")).unionByName(chained(large.where("early"), "shingle"))
+    pairs = keep.keep(pairs.distinct())
     texts = distinct.select("id", "text")
-    both = many_to_one(many_to_one(pairs, texts.withColumnRenamed("id", "a").withColumnRenamed("text", "ta"), "a"), texts.withColumnRenamed("id", "b").withColumnRenamed("text", "tb"), "b")
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -94,8 +97,53 @@ def near_copies(docs: DataFrame, least: float = NEAR) -> DataFrame:
             out.append(common / total if total else 0.0)
         return pd.Series(out, dtype=float)
 
-    links = both.withColumn("sim", alike("ta", "tb")).where(F.col("sim") >= least)
-    labels = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("near").alias("relation"), F.col("sim").alias("strength")))
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = many_to_one(many_to_one(pairs, texts.withColumnRenamed("id", "a").withColumnRenamed("text", "ta"), "a"), texts.withColumnRenamed("id", "b").withColumnRenamed("text", "tb"), "b")
+        links = both.withColumn("sim", alike("ta", "tb")).where(F.col("sim") >= least)
+        return links.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("near").alias("relation"), F.col("sim").alias("strength"))
+
+    links = keep.keep(verified(pairs))
+    labels = components(links)
+    if large is not None:
+        rest = keep.keep(verified(near_by_prefix(large, labels, least)))
+        if not rest.isEmpty():
+            labels = components(links.unionByName(rest))
     named = heads.join(labels.withColumnRenamed("id", "head"), "head", "left").select("digest", F.coalesce("component", "head").alias("group_id"))
     grouped = many_to_one(members, named, "digest").select("id", "group_id")
     return docs.select("id").join(grouped, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
+
+
+def chained(rows: DataFrame, *by: str) -> DataFrame:
+    """(a, b), a < b: every row's id with the least and with the next id of its group."""
+    w = Window.partitionBy(*by)
+    pairs = rows.withColumns({"least_id": F.min("id").over(w), "after": F.lead("id").over(w.orderBy("id"))}).select(F.col("id").alias("b"), F.explode(F.array("least_id", "after")).alias("a"))
+    return pairs.where("a is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """(id, size, shingle, at, early): of every text (id, text) the shingles, rarest first, of which two near texts share one, with their places.
+
+    A text of n shingles shares at least ``least`` * n with a near one, so one of them is among its first n - least * n + 1. Shingles of one text
+    only are left out; ``early`` marks the first EARLY others.
+    """
+
+    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"id": part["id"], "shingle": [shingles(t).astype(np.int64) for t in part["text"]]})
+
+    each = texts.select("id", "text").mapInPandas(split, "id long, shingle array<long>").select("id", F.explode("shingle").alias("shingle"))
+    counted = many_to_one(each, each.groupBy("shingle").agg(F.count("*").alias("df")), "shingle")
+    order = counted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s")).withColumn("size", F.size("s"))
+    order = order.select("id", "size", F.size(F.filter("s", lambda x: x["df"] == 1)).alias("alone"), F.posexplode(F.slice("s", F.lit(1), (F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int"))).alias("at", "x"))
+    return order.where("x.df > 1").select("id", "size", F.col("x.shingle").alias("shingle"), "at", (F.col("at") < F.col("alone") + EARLY).alias("early"))
+
+
+def near_by_prefix(large: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of different components (id, component) that can be near, by the first shingle they share in ``prefixes``.
+
+    Before that shingle they share none, so no more than the shorter rest can be common.
+    """
+    known = many_to_one(large, labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    side = lambda c: known.select("shingle", F.col("id").alias(c), F.col("size").alias(f"size_{c}"), (F.col("size") - F.col("at")).alias(f"rest_{c}"), F.col("component").alias(f"component_{c}"))
+    enough = F.least("rest_a", "rest_b") >= (F.col("size_a") + F.col("size_b")) * (least / (1 + least)) - 1e-9
+    return side("a").join(side("b"), "shingle").where((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & enough).select("a", "b").distinct()

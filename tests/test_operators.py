@@ -215,3 +215,15 @@ def test_ward_labels_against_the_matrix():
         x = rng.normal(size=(n, 3))
         for cut in (0.5, 1.2, 3.0):
             assert relations.ward_labels(x.copy(), cut).tolist() == by_matrix(x, cut)
+
+
+def test_near_copies_of_a_large_band(frame):
+    """Letters on one template, which alone is what two near ones and 138 others share."""
+    body = " ".join(f"t{k}" for k in range(204))
+    letter = lambda i, n: body + "".join(f" u{i}x{k}" for k in range(n))
+    rows = [(i, letter(i, 24 if i in (10, 90) else 30)) for i in range(140)]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    sets = [set(copies.shingles(t).tolist()) for _, t in rows]
+    assert [(i, j) for i in range(140) for j in range(i) if alike(sets[i], sets[j]) >= copies.NEAR] == [(90, 10)]
+    groups = {r["id"]: r["group_id"] for r in copies.near_copies(frame("id long, text string", *rows)).collect()}
+    assert groups == {i: 10 if i == 90 else i for i in range(140)}
