@@ -50,12 +50,11 @@ def sentences(text: str | None) -> list[str]:
 def ranked_sentences(text: str | None, k: int = 3, least: float = 0.1, same: float = 0.85, longest: int = 1000) -> list[str]:
     """The k best sentences in their order: PageRank over the graph of sentences that share words; near repeats are passed over.
 
-    Sentence graphs are quadratic, so texts of more than ``longest`` sentences are ranked by stretches of that many, and the best of each compete.
+    The whole text is one graph, as a matrix up to ``longest`` sentences and by ``ranked_by_words`` beyond.
     """
     every = sentences(text)
     if len(every) > longest:
-        best = [s for i in range(0, len(every), longest) for s in ranked_sentences("\n".join(every[i : i + longest]), k)]
-        return ranked_sentences("\n".join(best), k, least, same, longest)
+        return ranked_by_words(every, k, least, same)
     if len(every) <= k:
         return every
     vocabulary: dict[str, int] = {}
@@ -82,6 +81,59 @@ def ranked_sentences(text: str | None, k: int = 3, least: float = 0.1, same: flo
     return [every[i] for i in sorted(chosen)]
 
 
+def ranked_by_words(every: list[str], k: int, least: float, same: float) -> list[str]:
+    """``ranked_sentences`` of a long text without a quadratic matrix.
+
+    Sentences with the same words are one node with their number; links are found by the sentences of each word and kept only from
+    ``least`` on.
+    """
+    n = len(every)
+    vocabulary: dict[str, int] = {}
+    nodes: dict[tuple[int, ...], int] = {}
+    node = np.array([nodes.setdefault(tuple(sorted(vocabulary.setdefault(w, len(vocabulary)) for w in re.findall("[a-z0-9]{3,}", s.lower()) if w not in STOP)), len(nodes)) for s in every])
+    times = np.bincount(node).astype(float)
+    rows = [np.unique(np.array(words, int), return_counts=True) for words in nodes]
+    sizes = [len(w) for w, _ in rows]
+    word, at = np.concatenate([w for w, _ in rows]), np.repeat(np.arange(len(rows)), sizes)
+    df = np.bincount(word, weights=times[at], minlength=len(vocabulary))
+    weight = np.concatenate([c for _, c in rows]) * (np.log((1 + n) / (1 + df)) + 1)[word]
+    weight /= np.maximum(np.sqrt(np.bincount(at, weights=weight**2, minlength=len(rows))), 1e-12)[at]
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    order = np.argsort(word, kind="stable")
+    holders, held = at[order], weight[order]
+    first = np.searchsorted(word[order], np.arange(len(vocabulary) + 1))
+
+    def sims(i: int) -> np.ndarray:
+        out = np.zeros(len(rows))
+        for e in range(begin[i], begin[i + 1]):
+            part = slice(first[word[e]], first[word[e] + 1])
+            out[holders[part]] += weight[e] * held[part]
+        return out
+
+    to, strength = [], []
+    for i in range(len(rows)):
+        s = sims(i)
+        s[i] *= (times[i] - 1) / times[i]  # a sentence has no link to itself, but to its repeats
+        to.append(np.flatnonzero((s >= least) | ((s > 0) & (np.arange(len(rows)) == i))).astype(np.int32))
+        strength.append(s[to[-1]])
+    source = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for t in to])
+    to, strength = np.concatenate(to), np.concatenate(strength)
+    out = np.bincount(source, weights=strength * times[to], minlength=len(rows))
+    strength *= times[source] / out[source]
+    rank = np.full(len(rows), 1 / n)
+    for _ in range(30):
+        rank = 0.15 / n + 0.85 * (np.bincount(to, weights=rank[source] * strength, minlength=len(rows)) + (rank * times)[out == 0].sum() / n)
+    chosen: list[int] = []
+    near = np.zeros(len(rows), bool)
+    for i in np.argsort(-np.round(rank * n, 9)[node], kind="stable"):  # ties go to the earlier sentence
+        if not near[node[i]]:
+            chosen.append(int(i))
+            near |= sims(node[i]) >= same
+        if len(chosen) == k:
+            break
+    return [every[i] for i in sorted(chosen)]
+
+
 def summaries(docs: DataFrame, k: int = 3) -> DataFrame:
     """(id, n_sentences, summary) of documents (id, text); null and empty texts have an empty summary."""
 

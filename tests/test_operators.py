@@ -227,3 +227,10 @@ def test_near_copies_of_a_large_band(frame):
     assert [(i, j) for i in range(140) for j in range(i) if alike(sets[i], sets[j]) >= copies.NEAR] == [(90, 10)]
     groups = {r["id"]: r["group_id"] for r in copies.near_copies(frame("id long, text string", *rows)).collect()}
     assert groups == {i: 10 if i == 90 else i for i in range(140)}
+
+
+def test_a_long_text_is_ranked_as_a_whole():
+    """The sentence that links the second half of the text stands alone in the first thousand."""
+    hub = "Roof and cellar."
+    long = [hub, *[f"Garden garden g{i}x." for i in range(999)], *[f"{w} {w} r{i}x." for i in range(500) for w in ("Roof", "Cellar")]]
+    assert summaries.ranked_sentences("\n".join(long))[0] == hub
