@@ -2,8 +2,8 @@
 
 Spellings are reduced to word sets (case, order, punctuation, legal forms, post-nominals, usual abbreviations and nicknames put
 aside); equal sets are one identity. Identities that differ by a typing slip are found by suffix blocking: every word is indexed by
-its suffixes; a suffix met in too many identities is first refined with the beginnings of the identity's other words, and dropped only
-if it is still too common then and no whole word. Candidate pairs are compared by the ratio of the longest common subsequence.
+its suffixes; identities of a suffix met in too many meet by the other words and a word less one letter instead, which every two that
+are one slip apart share. Candidate pairs are compared by the ratio of the longest common subsequence.
 A rarer identity joins the closest commoner one. Spellings with initials join the only identity they fit.
 """
 
@@ -14,13 +14,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.operators.lineage import Scratch, scratch
 
-#: Shortest suffix indexed, most identities of a block before it is refined, letters of the other words used for that.
-SHORTEST, COMMON, LEAD = 4, 40, 3
+#: Shortest suffix indexed, most identities of a block before it is refined.
+SHORTEST, COMMON = 4, 40
 #: Forms an identity may have and still be a slip of another.
 ESTABLISHED = 2
 #: Least ratio of the longest common subsequence of two unequal words.
@@ -134,20 +134,24 @@ def slip(a: list[str], b: list[str]) -> float:
     return ratio if ratio >= (RATIO if len(a) < 3 else SHORT_RATIO) else 0.0
 
 
+def slip_keys(words: str) -> Column:
+    """The word list with one word marked, whole and less each of its letters: two lists that differ by one slip share such a key.
+
+    Of two words one slip apart, both less a letter, or one less a letter and the other whole, are equal. The marked word stands behind the others.
+    """
+    less = F.expr(f"flatten(transform({words}, (w, i) -> transform(sequence(0, length(w)), k -> concat(array_join(filter({words}, (u, j) -> j <> i), ' '), '#', if(k = 0, w, concat(left(w, k - 1), substring(w, k + 1)))))))")
+    return F.array_distinct(less)
+
+
 def blocked_pairs(people: DataFrame) -> DataFrame:
-    """Candidate pairs (a < b) of identities (id, words) by refined suffix blocks."""
-    word = F.explode(F.array_distinct("words"))
-    each = people.select("id", "words", word.alias("w"))
-    rest = F.transform(F.array_remove("words", F.col("w")), lambda u: F.substring(u, 1, LEAD))
-    keys = each.select("id", F.explode(F.expr(f"transform(sequence(least({SHORTEST}, length(w)), length(w)), k -> right(w, k))")).alias("suffix"), F.col("w"), F.array_join(rest, "|").alias("rest"))
-    counts = keys.groupBy("suffix").agg(F.countDistinct("id").alias("n"))
-    common = counts.where(F.col("n") > COMMON).select("suffix", F.lit(True).alias("common"))
-    marked = keys.join(common, "suffix", "left")
+    """Candidate pairs (a < b) of identities (id, words) by suffix blocks, those of common suffixes by ``slip_keys``."""
+    each = people.select("id", F.explode(F.array_distinct("words")).alias("w"))
+    keys = each.select("id", F.explode(F.expr(f"transform(sequence(least({SHORTEST}, length(w)), length(w)), k -> right(w, k))")).alias("suffix")).distinct()
+    counts = keys.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
+    marked = keys.join(counts.where(F.col("n") > COMMON).select("suffix", F.lit(True).alias("common")), "suffix", "left")
     plain = marked.where("common is null").select("id", F.col("suffix").alias("key"))
-    refined = marked.where("common").select("id", F.concat_ws("#", "suffix", "rest").alias("key"), (F.col("suffix") == F.col("w")).alias("whole"))
-    still = refined.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("whole").alias("whole"))
-    kept = refined.join(still.where((F.col("n") <= COMMON) | F.col("whole")).select("key"), "key").select("id", "key")
-    blocks = plain.unionByName(kept).distinct()
+    often = people.join(marked.where("common").select("id").distinct(), "id", "left_semi")
+    blocks = plain.unionByName(often.select("id", F.explode(slip_keys("words")).alias("key"))).distinct()
     other = blocks.select("key", F.col("id").alias("b"))
     return blocks.select("key", F.col("id").alias("a")).join(other, "key").where("a < b").select("a", "b").distinct()
 

@@ -44,3 +44,13 @@ def test_edges(frame):
     assert linked(frame, None, "", "  ", "x" * 20_000, "Anna", "!!", "A.") == set()
     dates = frame(SCHEMA, ("DATE", "1 May", None, 1, "", "", "", 1), (None, "Anna Belavich", None, 1, "", "", "", 1))
     assert N.name_groups(dates).count() == 0
+
+
+def test_slips_of_common_names_are_candidates(frame):
+    """Slips at the beginning, middle and end of the other word, where given name or surname are in more than COMMON identities."""
+    pairs = [("Ysuuf", "Yusuf"), ("Marta", "Amrta"), ("Elbert", "Lbert"), ("Tobian", "Tobina"), ("Xander", "Zander")]
+    many = ["".join(chr(97 + (i * k) % 23) for k in (3, 5, 7, 11, 13)) + "q" * (i % 9) for i in range(60)]
+    people = [sorted(("oskobizer", w.lower())) for w in [*many, *[w for p in pairs for w in p]]]
+    got = {(r["a"], r["b"]) for r in N.blocked_pairs(frame("id string, words array<string>", *[(" ".join(w), w) for w in people])).collect()}
+    slips = {(" ".join(min(x, y)), " ".join(max(x, y))) for x in people for y in people if x < y and N.slip(x, y)}
+    assert len(slips) >= 3 and {tuple(sorted(p)) for p in slips} <= got
