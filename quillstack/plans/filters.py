@@ -111,6 +111,7 @@ def filter_mostly_ascii(t):
 
 @q(r"""select doc_id, length(left(text, 1000)) - length(regexp_replace(left(text, 1000), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g')) as n_control from documents where text is not null""")
 def filter_control_characters(t):
+    """Control characters in the first 1,000 characters, which is how the reference defines its check."""
     head = F.substring("text", 1, 1000)
     return t.documents.where("text is not null").select("doc_id", F.regexp_count(head, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")).cast("long").alias("n_control"))
 

@@ -118,6 +118,7 @@ _HAS = ", ".join(f"bool_or(contains(lower(coalesce(title, '') || ' ' || left(coa
 
 
 def matter_types(t):
+    """Kinds of document by words in the title or the first 500 characters of the text, which is how the reference defines them."""
     head = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, 500)))
     rows = t.documents.where("matter_id is not null")
     return rows.groupBy("matter_id").agg(*[F.bool_or(F.contains(head, F.lit(k))).alias(f"has_{k}") for k in _TYPES])
