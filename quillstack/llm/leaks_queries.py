@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm.leaks import leak_report, leaked
+from quillstack.llm.leaks import SHARE, leak_report, leaked
 from quillstack.sources.tables import table
 
 
@@ -13,7 +13,7 @@ def _leaked(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
-    return _leaked(spark, root).select("doc_id", "item_id").distinct()
+    return _leaked(spark, root).where(f"held >= {SHARE}").select("doc_id", "item_id").distinct()
 
 
 def p9_report(spark: SparkSession, root: str) -> DataFrame:
