@@ -1,16 +1,55 @@
+import copy
+import re
+
 from quillstack.llm import personal as P
 
 SCHEMA = "id long, content string, sender string, start int, pii_text string"
 
 
+#: Written by hand, apart from the training table: items stand in brackets behind their kind.
+HELD_OUT = r"""Hi [NAME|Patrick],\n\nthe electrician came by and [NAME|Ruth Hollander] let him in. She says [NAME|Walter] should ring her on [PHONE|(212) 555-0177] or write to [EMAIL|ruth.hollander@ledgerline.example].\n\nRegards,\n[NAME|Oliver Brandt]\nOffice Manager
+Good news: the buyer, [NAME|Samuel Whitford], has signed. His passport [ID_NUMBER|X44120987] and the keys are with us at [ADDRESS|1420 Juniper Road, Suite 5B, Eastbury, OH 44120].
+We never got invoice 2291-404-118 for parcel TRL118822, and nobody at Clearstone Property Services LLC can explain it.
+On Mon, Mar 4, 2024 at 9:15 AM, [NAME|Helen Ostrander] <[EMAIL|helen.ostrander@brightmail.test]> wrote:
+Please correct the record for [NAME|Brandt, Oliver]: his SSN is [ID_NUMBER|219-40-8813], and mail goes to [ADDRESS|77 Lincoln Ave., Apt 4C].
+The house at [ADDRESS|905 Orchard Lane] burnt down on 3/14/2021. [NAME|Julia] and [NAME|Karl] were away; the neighbour, [NAME|Diana M. Kestner], called [PHONE|+1 415 555 0133].
+Hola [NAME|Lucia],\n[NAME|Diego Maldonado] vive en [ADDRESS|Calle Market 18, 3ºB] y su teléfono es [PHONE|650 555 0142].
+Ich habe gestern mit [NAME|Ingrid Sommerfeld] gesprochen. Sie wohnt in [ADDRESS|Kirchweg 12, 80331 Altdorf].
+Two quotes arrived, one from Granite Roofing Co. and one from [EMAIL|tom_baker [at] roofline [dot] example]; I prefer the second.
+From: [NAME|Rebecca Lindqvist]\nSent: April 2, 2023 10:40\nTo: [NAME|Victor Manley]\nSubject: RE: Your lease
+The meeting is in Westport on 12 May 2022, page 4 of the agenda, room 210.
+Thank you,\n\n[NAME|Stephen R. Calloway]\nClaims Officer\nNorthgate Insurance Group\nPhone: [PHONE|503-555-0126]\n[EMAIL|s.calloway@northgate.example]
+My NI number is [ID_NUMBER|QQ 12 34 56 C]; please keep it off the report. Version 3.12.4 is fine.
+[NAME|Andrew Fairbanks] and [NAME|Naomi Castellan] own [ADDRESS|31 Victoria Street, Unit 9A], which the bank values at $418,000."""
+
+
 def test_held_out_accuracy():
-    """Patterns with fresh names, numbers and addresses: nearly all tokens get their kind."""
-    composer, patterns = P.Composer(seed=77), [p for line in P.PATTERNS.split("\n") for p in line.split("|")]
-    drawn = [composer.draw(patterns) for _ in range(300)]
-    got = P.find_all([t for t, _ in drawn], P.personal_model())
-    want = {(k, a, b, kind) for k, (_, spans) in enumerate(drawn) for a, b, kind in spans}
-    have = {(k, a, b, kind) for k, items in enumerate(got) for a, b, kind in items}
-    assert len(want & have) / len(want) > 0.9 and len(want & have) / len(have) > 0.9
+    """Texts that the training table doesn't hold; without weights nothing is found."""
+    texts, want = [], set()
+    for k, line in enumerate(HELD_OUT.split("\n")):
+        text = ""
+        for part in re.split(r"(\[[A-Z_]+\|(?:[^\[\]]|\[at\]|\[dot\])+\])", line.replace("\\n", "\n")):
+            if part.startswith("[") and "|" in part:
+                kind, item = part[1:-1].split("|")
+                want.add((k, len(text), len(text) + len(item), kind))
+                part = item
+            text += part
+        texts.append(text)
+    model = P.personal_model()
+    have = {(k, a, b, kind) for k, items in enumerate(P.find_all(texts, model)) for a, b, kind in items}
+    assert len(want) >= 35 and len(want & have) / len(want) > 0.85 and len(want & have) / len(have) > 0.85, (want - have, have - want, texts)
+    blank = copy.copy(model)
+    blank.weights, blank.moves, blank.first = model.weights * 0, model.moves * 0, model.first * 0
+    assert not any(P.find_all(texts, blank))
+
+
+def test_equal_tokens_whatever_a_stretch_holds():
+    text = "Ask o'Neil-Smith about it, élan B. Ltd. and\n> the St. at 5pm: #4B, $1,200.50; A.B.C. Żeń"
+    both = P.TOKENS[True, True]
+    plain = [("word" if m.lastgroup == "low" else m.lastgroup, m[0]) for m in P.TOKENS[False, True].finditer(text)]
+    assert plain == [(m.lastgroup, m[0]) for m in both.finditer(text)]
+    text = text.translate(str.maketrans("", "", "0123456789"))
+    assert [("word" if m.lastgroup == "low" else m.lastgroup, m[0]) for m in P.TOKENS[False, False].finditer(text)] == [(m.lastgroup, m[0]) for m in P.TOKENS[True, False].finditer(text)]
 
 
 def items(text):
