@@ -5,14 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where the session names none, as in tests."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The cluster's ``spark.checkpoint.dir``.
+
+    A session on one machine (master ``local``) that names none gets a temporary folder. On a cluster no folder of one machine will do,
+    so there the setting is required.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = spark.conf.get("quillstack.shared.dir", None)
     if not own:
         own = tempfile.mkdtemp(prefix="quillstack-shared-")
@@ -40,6 +47,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def keep_and_watch(self, df: DataFrame, **what: Column) -> tuple[DataFrame, dict]:
+        """As ``keep``, with aggregates of the written rows, which cost no job of their own. A lost executor can only make sums larger."""
+        seen = Observation()
+        out = self.keep(df.observe(seen, *[c.alias(n) for n, c in what.items()]))
+        return out, seen.get
+
     def drop(self, df: DataFrame) -> None:
         """Delete the files of a table that ``keep`` returned and nothing reads any more."""
         path = getattr(df, "_scratch_path", None)
