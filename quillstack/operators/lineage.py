@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,11 +47,10 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def keep_and_watch(self, df: DataFrame, **what: Column) -> tuple[DataFrame, dict]:
-        """As ``keep``, with aggregates of the written rows, which cost no job of their own. A lost executor can only make sums larger."""
-        seen = Observation()
-        out = self.keep(df.observe(seen, *[c.alias(n) for n, c in what.items()]))
-        return out, seen.get
+    def keep_and_count(self, df: DataFrame, **what: Column) -> tuple[DataFrame, dict]:
+        """As ``keep``, with aggregates of the written table."""
+        out = self.keep(df)
+        return out, out.agg(*[c.alias(n) for n, c in what.items()]).first().asDict()
 
     def drop(self, df: DataFrame) -> None:
         """Delete the files of a table that ``keep`` returned and nothing reads any more."""
