@@ -104,3 +104,38 @@ def dense_clusters(vectors: DataFrame, least: float, members: int = 2) -> DataFr
     border = links.join(cores.withColumnRenamed("id", "query_id"), "query_id", "left_anti").join(clusters, "id").groupBy("query_id").agg(F.max_by("cluster", F.struct("sim", -F.col("id"))).alias("cluster"))
     both = clusters.unionByName(border.select(F.col("query_id").alias("id"), "cluster"))
     return vectors.select("id").join(both, "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+
+
+def assigned(items: DataFrame, clustered: DataFrame, members: int = 10, least: float = 0.6) -> DataFrame:
+    """(id, cluster, sim): for every item (id, vector) the cluster whose first ``members`` vectors of ``clustered`` (id, vector, label) are most
+    alike on average, null if that mean is not above ``least``. Equal means go to the smaller label.
+
+    The mean cosine to unit vectors is the product with their mean, so each cluster is one vector; items meet all of them in blocks.
+    """
+    few = top_per(clustered, "label", [F.col("id")], members)
+    each = few.withColumn("size", norm(F.col("vector"))).select("label", F.posexplode(F.transform("vector", lambda x: F.coalesce(F.try_divide(x.cast("double"), F.col("size")), F.lit(0.0)))).alias("at", "x"))
+    means = each.groupBy("label", "at").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("mean"))
+    blocks: list[tuple[list, list]] = [([], [])]
+    for r in means.orderBy("label").toLocalIterator():
+        if len(blocks[-1][0]) == BLOCK:
+            blocks.append(([], []))
+        blocks[-1][0].append(r["label"])
+        blocks[-1][1].append(r["mean"])
+    shipped = items.sparkSession.sparkContext.broadcast([(np.array(a), np.array(b, np.float64)) for a, b in blocks if a])
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if not len(part):
+                continue
+            x = np.array(part["vector"].tolist(), np.float64)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            best, label = np.full(len(x), -np.inf), np.zeros(len(x), np.int64)
+            for names, rows in shipped.value:
+                sims = np.round(x @ rows.T, 12)
+                k = sims.argmax(1)
+                s = sims[np.arange(len(x)), k]
+                better = s > best
+                best, label = np.where(better, s, best), np.where(better, names[k], label)
+            yield pd.DataFrame({"id": part["id"], "cluster": pd.array(np.where(best > least, label, 0), "Int64").copy(), "sim": best}).assign(cluster=lambda d: d["cluster"].where(best > least))
+
+    return items.where(F.col("vector").isNotNull()).select("id", "vector").mapInPandas(scan, "id long, cluster long, sim double")

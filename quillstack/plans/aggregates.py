@@ -115,7 +115,7 @@ def agg_lineitems(t):
 @q("select id, 'EID-' || y || '-' || case when k < 10000 then lpad(k::varchar, 4, '0') else k::varchar end as eid from (select id, extract(year from datetime_utc) as y, row_number() over (partition by extract(year from datetime_utc) order by datetime_utc, id) as k from emails where datetime_utc is not null)")
 def win_evidence_ids(t):
     dated = t.emails.where("datetime_utc is not null")
-    return O.numbered(dated, F.year("datetime_utc"), [F.col("datetime_utc"), F.col("id")]).select("id", "eid")
+    return O.numbered(dated, "datetime_utc", ["id"]).select("id", "eid")
 
 
 _SUBJ = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(coalesce(subject, '')), '(?i)^re:\s*', ''), '(?i)^fwd:\s*', ''), '(?i)^fw:\s*', ''), '(?i)^reply:\s*', ''), '^\[[^\]]*\]\s*', '')))"

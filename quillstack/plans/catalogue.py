@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("references", "filters", "graphs", "joins", "aggregates", "scalars", "vectors", "texts", "relations", "upkeep")
+MODULES = ("references", "filters", "graphs", "joins", "aggregates", "scalars", "vectors", "texts", "relations", "upkeep", "records")
 
 
 def _gather(what: str) -> dict:
