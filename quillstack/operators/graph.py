@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.operators.lineage import scratch
-from quillstack.operators.skew import many_to_one
+from quillstack.operators.skew import hot_list, many_to_one
 
 
 def pair_id(c: Column) -> Column:
@@ -73,21 +73,31 @@ def simple_paths(edges: DataFrame, start: int, goal: int, depth: int = 4) -> Dat
     return out.select("path", (F.size("path") - 1).alias("length"), (F.col("total") / (F.size("path") - 1)).alias("mean_strength"))
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
-    """(id, rank) over directed edges after a fixed number of rounds; rank of nodes without way out is not spread, the result sums to 1."""
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 10, epsilon: float | None = None) -> DataFrame:
+    """(id, rank) over directed edges after ``rounds`` rounds, or with ``epsilon`` as soon as no rank changes by as much in a round.
+
+    Rank of nodes without way out is not spread, the result sums to 1. A node with very many ways in is summed up on the map side first.
+    """
     keep = scratch(edges.sparkSession, "pagerank")
-    pairs = keep.keep(edges.select("src", "dst"))
+    pairs = edges.select("src", "dst")
     out = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"))
     nodes = keep.keep(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(out.withColumnRenamed("src", "id"), "id", "left"))
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
+    hot = hot_list(nodes.select("id", F.col("n_out").alias("n")).where("n is not null"), "id", edges.count())
+    pairs = keep.keep(pairs)
     ranks = nodes.select("id", "n_out", F.lit(1.0 / n).alias("rank"))
     for k in range(rounds):
         share = ranks.where("n_out is not null").select(F.col("id").alias("src"), (F.col("rank") / F.col("n_out")).alias("share"))
-        into = pairs.join(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("inflow"))
+        into = many_to_one(pairs, share, "src", hot=hot).groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("inflow"))
+        before = ranks
         ranks = nodes.join(into, "id", "left").select("id", "n_out", ((1 - damping) / n + damping * F.coalesce("inflow", F.lit(0.0))).alias("rank"))
-        if k % 5 == 4:
+        if epsilon is not None:
+            ranks = keep.keep(ranks)
+            if ranks.join(before.select("id", F.col("rank").alias("last")), "id").agg(F.max(F.abs(F.col("rank") - F.col("last")))).first()[0] < epsilon:
+                break
+        elif k % 5 == 4:
             ranks = keep.keep(ranks)
     total = ranks.agg(F.sum("rank").alias("total"))
     return ranks.crossJoin(F.broadcast(total)).select("id", (F.col("rank") / F.col("total")).alias("rank"))

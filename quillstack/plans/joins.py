@@ -63,8 +63,12 @@ def join_chain_missing_tail(t):
 
 @q("select d.chunk_id, c.id as content_id, e.id as embedding_id, e.created_at from document_chunks d join content_unified c on c.sha256 = d.sha256 join content_embeddings e on e.content_id = c.id where e.created_at is not null order by e.created_at desc, e.id, d.chunk_id, c.id limit 1")
 def join_chain_latest(t):
-    chain = t.document_chunks.select("chunk_id", "sha256").join(t.content_unified.select(F.col("id").alias("content_id"), "sha256"), "sha256").join(t.content_embeddings.select(F.col("id").alias("embedding_id"), "content_id", "created_at"), "content_id")
-    return chain.where("created_at is not null").orderBy(F.desc("created_at"), "embedding_id", "chunk_id", "content_id").limit(1).select("chunk_id", "content_id", "embedding_id", "created_at")
+    """The latest whole chain of chunk, content and embedding. Every table is reduced to one row a key before it is joined."""
+    newest = lambda *ties: F.min_by(F.struct("created_at", *ties), F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("age"), *ties))
+    embedded = t.content_embeddings.where("created_at is not null and content_id is not null").withColumnRenamed("id", "embedding_id").groupBy("content_id").agg(newest("embedding_id").alias("e")).select("content_id", "e.*")
+    contents = t.content_unified.where("sha256 is not null").select(F.col("id").alias("content_id"), "sha256").join(embedded, "content_id").groupBy("sha256").agg(newest("embedding_id", "content_id").alias("c")).select("sha256", "c.*")
+    chunks = t.document_chunks.where("sha256 is not null").groupBy("sha256").agg(F.min("chunk_id").alias("chunk_id"))
+    return chunks.join(contents, "sha256").orderBy(F.desc("created_at"), "embedding_id", "chunk_id", "content_id").limit(1).select("chunk_id", "content_id", "embedding_id", "created_at")
 
 
 @q("select distinct d.chunk_id from document_chunks d where d.sha256 is not null and exists (select 1 from content_unified c where c.sha256 = d.sha256 and c.chunk_index = d.chunk_index)")

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from quillstack.functions import names as N
 from quillstack.functions import text as X
 from quillstack.operators import graph as G
+from quillstack.operators import mail as M
 from quillstack.operators import quality as Q
 from quillstack.operators import vectors as V
 from quillstack.operators import windows as W
 from quillstack.plans.book import Book
+from quillstack.sources import files as L
 
 book = Book()
 q = book.query
@@ -278,4 +280,54 @@ def boilerplate_frequent(t):
     return G.many_to_one(keys, total, "source").where("frequency >= total * 0.3").select("source", "passage", "frequency", F.round(F.least(F.lit(0.95), F.col("frequency") / F.col("total")), 8).alias("confidence"))
 
 
+# --- Raw records and files, made from the tables and read back ---
+def raw_messages(t):
+    """Mails as raw records of a mail service: headers, URL-safe base64 and parts."""
+    data = F.translate(F.base64(F.encode("content", "UTF-8")), "+/\r\n", "-_")
+    head = lambda name, c: F.struct(F.lit(name).alias("name"), c.alias("value"))
+    date = F.date_format(F.col("datetime_utc"), "EEE, d MMM yyyy HH:mm:ss")
+    part = lambda kind, name, d, n: F.struct(F.lit(kind).alias("mimeType"), name.alias("filename"), F.struct(d.alias("data"), n.alias("size")).alias("body"))
+    none = F.lit(None).cast("string")
+    parts = F.array(part("text/html", F.lit(""), F.base64(F.encode(F.lit("<p>other</p>"), "UTF-8")), F.lit(12)), part("text/plain", F.lit(""), data, F.length("content")), part("application/pdf", F.concat("id", F.lit(".pdf")), none, F.length("content")))
+    headers = F.array(head("subject", F.col("subject")), head("FROM", F.col("sender")), head("To", F.col("recipient_to")), head("Date", date))
+    return t.emails.where("content is not null").select(F.col("id").cast("string").alias("id"), F.col("thread_id").alias("threadId"), F.struct(headers.alias("headers"), F.struct(none.alias("data")).alias("body"), parts.alias("parts")).alias("payload"))
+
+
+@q("select id::varchar as id, thread_id, subject, sender, recipient_to, date_trunc('second', datetime_utc) as sent, sha256(content) as digest from emails where content is not null")
+def mail_parsed(t):
+    """Raw records flattened: the plain part is the body, headers in any case."""
+    got = M.parsed_messages(raw_messages(t))
+    return got.select("id", "thread_id", "subject", "sender", "recipient_to", F.col("sent").cast("timestamp_ntz").alias("sent"), F.sha2("body", 256).alias("digest"))
+
+
+@q("select id::varchar as id, id || '.pdf' as filename, 'application/pdf' as mime_type, length(content)::int as size from emails where content is not null")
+def mail_attachments(t):
+    return M.attachments(raw_messages(t)).select("id", "filename", "mime_type", "size")
+
+
+def stored_files(t):
+    """Documents as files of several formats, some without an ending."""
+    kind = F.element_at(F.array(F.lit(".md"), F.lit(".txt"), F.lit(".HTML"), F.lit(""), F.lit(".pdf")), (F.col("doc_id") % 5 + 1).cast("int"))
+    start = F.when(F.col("doc_id") % 5 == 4, "%PDF-1.7 ").when(F.col("doc_id") % 5 == 0, F.concat(F.lit("---\ntitle: "), F.col("doc_id").cast("string"), F.lit("\n---\n"))).otherwise("")
+    return t.documents.where("length(text) > 20").select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), kind).alias("path"), F.encode(F.concat(start, F.col("text")), "UTF-8").alias("content"))
+
+
+@q("select case doc_id % 5 when 0 then 'markdown' when 1 then 'text' when 2 then 'html' when 3 then 'text' else 'pdf' end as format, count(*) as n from documents where length(text) > 20 group by 1")
+def file_formats(t):
+    return L.with_format(stored_files(t)).groupBy("format").agg(F.count("*").alias("n"))
+
+
+@q("select '/in/' || doc_id || '.txt' as path, sha256(text) as digest, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) = text as unchanged from documents where length(text) > 20 and doc_id % 5 = 1")
+def file_texts(t):
+    got = L.texts(stored_files(t).where("endswith(path, '.txt')"))
+    return got.select("path", F.col("sha256").alias("digest"), (F.sha2("text", 256) == F.col("sha256")).alias("unchanged"))
+
+
+@q("select '/in/' || doc_id || '.md' as path, 'title: ' || doc_id as head, sha256(text) as digest from documents where length(text) > 20 and doc_id % 5 = 0 and not contains(text, chr(13))")
+def file_front_matter(t):
+    got = L.texts(stored_files(t).where("endswith(path, '.md')"))
+    head, body = L.front_matter("text")
+    return got.where(~F.contains(F.decode(F.encode("text", "UTF-8"), "UTF-8"), F.lit("\r"))).select("path", head.alias("head"), F.sha2(body, 256).alias("digest"))
+
+
 QUERIES, ORACLE = book.queries, book.oracle

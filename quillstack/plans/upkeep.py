@@ -162,19 +162,20 @@ def mail_groups(t):
 
 @q("select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n from events group by 1, 2")
 def stream_hourly_counts(t):
-    """The windowed stream worked off to its end equals the batch count."""
+    """The windowed stream worked off to its end equals the batch count. Counts of open windows are updated batch by batch; the last update holds."""
     path = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
-    stream = ingest.windowed_counts(ingest.arriving(t.spark, f"{t.root}/events.parquet*", t.events.schema), "ts", "event_type", late="10000 days")
-    ingest.run_available(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out"), f"{path}/state", "complete")
-    return t.spark.read.parquet(f"{path}/out").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+    stream = ingest.windowed_counts(ingest.arriving(t.spark, f"{t.root}/events.parquet*", t.events.schema), "ts", "event_type", late="30 days")
+    ingest.run_available(stream, ingest.updates(f"{path}/out"), f"{path}/state", "update")
+    latest = ingest.latest_updates(t.spark, f"{path}/out", ["window_start", "event_type"])
+    return latest.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
 @q("select message_id from emails where message_id is not null and trim(coalesce(content, '')) <> '' group by 1")
 def stream_synced_mails(t):
     """Mails synced from landing files, each message once."""
     path = f"{shared_dir(t.spark)}/sync-{uuid.uuid4().hex}"
-    ingest.sync_mails(t.spark, f"{t.root}/emails.parquet*", t.emails.schema, path, f"{path}/state", late="20000 days")
-    return t.spark.read.parquet(f"{path}/mails").select("message_id")
+    ingest.sync_mails(t.spark, f"{t.root}/emails.parquet*", t.emails.schema, path, f"{path}/state", late="90 days")
+    return t.spark.read.parquet(f"{path}/mails").select("message_id").distinct()
 
 
 QUERIES, ORACLE = book.queries, book.oracle

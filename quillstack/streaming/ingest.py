@@ -21,6 +21,18 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
 
 
+def updates(out: str) -> Callable[[DataFrame, int], None]:
+    """Sink for the update mode: the changed rows of each batch in a folder of its own, which a repeated batch writes anew."""
+    return lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+
+def latest_updates(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The last update of every key."""
+    rows = spark.read.option("basePath", out).parquet(f"{out}/batch=*")
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last")).select(*keys, "last.*")
+
+
 def sync_mails(spark: SparkSession, folder: str, schema: StructType | str, out: str, checkpoint: str, late: str = "30 days") -> None:
     """Append new mails to ``out``, each message id once within the watermark; rows that break a rule go to ``out``/rejected with the reason."""
     stream = arriving(spark, folder, schema).withColumn("arrived", F.coalesce(F.col("created_at").cast("timestamp"), F.lit("1970-01-01").cast("timestamp")))

@@ -1,13 +1,13 @@
 """Core operators on small cases, edges included."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillstack.functions import dates, text
-from quillstack.operators import copies, filters, graph, mail, references, relations, skew, spans, summaries, upserts, vectors, windows
+from quillstack.operators import copies, filters, graph, mail, quality, references, relations, skew, spans, summaries, upserts, vectors, windows
 from quillstack.operators.lineage import scratch
 
 CHUNK = "chunk_id string, sha256 string, processed_at timestamp_ntz, ref_table string, key string, n int"
@@ -234,3 +234,52 @@ def test_a_long_text_is_ranked_as_a_whole():
     hub = "Roof and cellar."
     long = [hub, *[f"Garden garden g{i}x." for i in range(999)], *[f"{w} {w} r{i}x." for i in range(500) for w in ("Roof", "Cellar")]]
     assert summaries.ranked_sentences("\n".join(long))[0] == hub
+
+
+def test_pagerank_converges(frame):
+    edges = [(a, b) for a in range(12) for b in (a * 5 % 12, (a + 1) % 12) if a != b and a != 7]
+    nodes = sorted({x for e in edges for x in e})
+    rank, n_out = {v: 1 / len(nodes) for v in nodes}, {v: sum(a == v for a, _ in edges) for v in nodes}
+    for _ in range(300):
+        rank = {v: 0.15 / len(nodes) + 0.85 * sum(rank[a] / n_out[a] for a, b in edges if b == v) for v in nodes}
+    got = {r["id"]: r["rank"] for r in graph.pagerank(frame("src long, dst long", *edges), rounds=100, epsilon=1e-9).collect()}
+    assert set(got) == set(nodes) and all(abs(got[v] - rank[v] / sum(rank.values())) < 1e-6 for v in nodes)
+    assert graph.pagerank(frame("src long, dst long"), rounds=100, epsilon=1e-4).count() == 0
+
+
+def test_hot_keys_named_or_counted(frame):
+    rows = frame("k long, v long", *[(None if i % 50 == 0 else 1 if i % 3 else i, i) for i in range(300)])
+    lookup = frame("k long, name string", *[(i, f"n{i}") for i in range(0, 300, 2)], (1, "n1"))
+    want = sorted((r["v"], r["name"]) for r in rows.join(lookup, "k", "left").collect())
+    for hot in (None, [], [1], [1, 5]):
+        assert sorted((r["v"], r["name"]) for r in skew.many_to_one(rows, lookup, "k", "left", hot=hot).collect()) == want
+    counts = rows.groupBy("k").count().withColumnRenamed("count", "n")
+    assert skew.hot_list(counts, "k", 300) == [] and skew.hot_list(counts, "k", 300, least=10) == [1]
+
+
+def test_numbers_in_time(frame):
+    rows = frame("id long, at timestamp_ntz", *[(i, None if i == 9 else datetime(2022, 12, 31, 22) + timedelta(minutes=(i * 37) % 500 // 10 * 10)) for i in range(60)])
+    got = {r["id"]: r["n"] for r in windows.ranked_in_time(rows, "at", ["id"], "n").collect()}
+    order = sorted(rows.collect(), key=lambda r: (r["at"] or datetime.min, r["id"]))
+    assert got == {r["id"]: k + 1 for k, r in enumerate(order)}
+    eids = {r["id"]: r["eid"] for r in windows.numbered(rows.where("at is not null"), "at", ["id"]).collect()}
+    assert sorted(eids.values())[0] == "EID-2022-0001" and len(set(eids.values())) == 59
+
+
+def test_quality_gates_of_blank_texts(frame):
+    rows = quality.gated(frame("id long, text string, score string", (1, None, ""), (2, "  ", ""), (3, "the " * 10, "")).drop("score")).collect()
+    assert [(r["score"], r["reasons"]) for r in rows[:2]] == [(0.0, "empty_text")] * 2 and "low_bigram_diversity" in rows[2]["reasons"]
+
+
+def test_late_rows_of_a_stream(spark, frame, tmp_path):
+    """Rows later than the watermark are left out, others are added to the windows they belong to."""
+    from quillstack.streaming import ingest
+
+    schema, folder = "ts timestamp_ntz, kind string", str(tmp_path / "in")
+    batches = [[(DAY, "a"), (DAY + timedelta(days=40), "a")], [(DAY + timedelta(days=41), "a")], [(DAY + timedelta(days=1), "a"), (DAY + timedelta(days=30), "a")]]
+    for rows in batches:
+        frame(schema, *rows).coalesce(1).write.mode("append").parquet(folder)
+        stream = ingest.windowed_counts(ingest.arriving(spark, folder, schema), "ts", "kind", late="20 days")
+        ingest.run_available(stream, ingest.updates(str(tmp_path / "out")), str(tmp_path / "state"), "update")
+    got = ingest.latest_updates(spark, str(tmp_path / "out"), ["window_start", "kind"])
+    assert got.agg({"n": "sum"}).first()[0] == 4
