@@ -5,12 +5,13 @@ Copies are collapsed first: only distinct texts are sketched and compared, and m
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstack.functions.text import squeeze
@@ -24,6 +25,8 @@ SHINGLE, NEAR, BANDS, ROWS = 5, 0.8, 20, 5
 SMALL = 50
 #: Rare shingles of a text of a large band by which it meets others first.
 EARLY = 8
+#: Hashes of words a task remembers.
+WORDS_KNOWN = 200_000
 _PRIME = np.uint64((1 << 31) - 1)
 _A = np.array([(k * 2654435761 + 97) % ((1 << 31) - 2) + 1 for k in range(1, BANDS * ROWS + 1)], np.uint64)
 _B = np.array([(k * 40503 + 12345) % ((1 << 31) - 1) for k in range(1, BANDS * ROWS + 1)], np.uint64)
@@ -40,11 +43,32 @@ def exact_copies(docs: DataFrame) -> DataFrame:
     return text_groups(docs).groupBy("digest").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
 
 
-def shingles(text: str) -> np.ndarray:
-    """Sorted distinct 31-bit hashes of runs of SHINGLE words; a shorter text is one shingle."""
-    words = "".join(c if c.isalnum() else " " for c in text.lower()).split()
-    runs = {" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
-    return np.array(sorted(xxhash.xxh32_intdigest(r) & 0x7FFFFFFF for r in runs), np.uint64)
+_WORD = re.compile(r"[^\W_]+")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: str, known: dict[str, int] | None = None) -> np.ndarray:
+    """Sorted distinct 31-bit hashes of runs of SHINGLE words; a shorter text is one shingle. ``known`` remembers hashes of words."""
+    known = {} if known is None else known
+    words = _WORD.findall(text.lower())
+    if not words:
+        return np.zeros(0, np.uint64)
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w)
+    h = np.array([known[w] for w in words], np.uint64)
+    n = max(1, len(h) - SHINGLE + 1)
+    runs = np.zeros(n, np.uint64)
+    for k in range(min(SHINGLE, len(h))):
+        runs = (runs ^ h[k : k + n]) * _STEP
+        runs ^= runs >> np.uint64(31)
+    return np.unique(runs >> np.uint64(33))
+
+
+def shared_part(a: str, b: str) -> Column:
+    """Share of common shingles of two arrays without repeats."""
+    common = F.size(F.array_intersect(a, b))
+    return common / (F.size(a) + F.size(b) - common)
 
 
 def near_copies(docs: DataFrame, least: float = NEAR) -> DataFrame:
@@ -60,46 +84,38 @@ def near_copies(docs: DataFrame, least: float = NEAR) -> DataFrame:
     keep = scratch(spark, "copies")
     members = keep.keep(text_groups(docs))
     heads = members.groupBy("digest").agg(F.min("id").alias("head"))
-    distinct = keep.keep(docs.select("id", "text").join(heads.select(F.col("head").alias("id")), "id", "left_semi"))
-
     def sketch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
         for part in parts:
-            ids, bands, keys = [], [], []
+            ids, sets, keys = [], [], []
             for i, text in zip(part["id"], part["text"]):
-                h = shingles(text)
+                if len(known) > WORDS_KNOWN:
+                    known.clear()
+                h = shingles(text, known)
                 if len(h):
                     sig = np.concatenate([((h[None, :] * _A[k : k + 20, None] + _B[k : k + 20, None]) % _PRIME).min(1) for k in range(0, len(_A), 20)])
-                    for b in range(BANDS):
-                        ids.append(i)
-                        bands.append(b)
-                        keys.append(xxhash.xxh64_intdigest(sig[b * ROWS : (b + 1) * ROWS].tobytes()) - (1 << 63))
-            yield pd.DataFrame({"id": ids, "band": np.array(bands, np.int32), "key": np.array(keys, np.int64)})
-
-    bands = keep.keep(distinct.mapInPandas(sketch, "id long, band int, key long"))
+                    ids.append(i)
+                    sets.append(h.astype(np.int32))
+                    keys.append(np.array([xxhash.xxh64_intdigest(sig[b * ROWS : (b + 1) * ROWS].tobytes()) - (1 << 63) for b in range(BANDS)], np.int64))
+            yield pd.DataFrame({"id": ids, "shingles": sets, "keys": keys})
+
+    distinct = docs.select("id", "text").join(heads.select(F.col("head").alias("id")), "id", "left_semi")
+    sketches = keep.keep(distinct.mapInPandas(sketch, "id long, shingles array<int>, keys array<long>"))
+    bands = sketches.select("id", F.posexplode("keys").alias("band", "key"))
     low = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = keep.keep(bands.join(low, ["band", "key"]))
     few = shared.where(F.col("n") <= SMALL)
     pairs = few.select("band", "key", F.col("id").alias("a")).join(few.select("band", "key", F.col("id").alias("b")), ["band", "key"]).where("a < b").select("a", "b")
     many = shared.where(F.col("n") > SMALL)
-    large = None if many.isEmpty() else keep.keep(prefixes(distinct.join(many, "id", "left_semi"), least))
+    large = None if many.isEmpty() else keep.keep(prefixes(sketches.join(many, "id", "left_semi"), least))
     if large is not None:
         pairs = pairs.unionByName(chained(many, "band", "key")).unionByName(chained(large.where("early"), "shingle"))
     pairs = keep.keep(pairs.distinct())
-    texts = distinct.select("id", "text")
-
-    @F.pandas_udf("double")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y):
-            p, q = shingles(a), shingles(b)
-            common = len(np.intersect1d(p, q, assume_unique=False))
-            total = len(np.union1d(p, q))
-            out.append(common / total if total else 0.0)
-        return pd.Series(out, dtype=float)
+    sets = sketches.select("id", "shingles")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = many_to_one(many_to_one(pairs, texts.withColumnRenamed("id", "a").withColumnRenamed("text", "ta"), "a"), texts.withColumnRenamed("id", "b").withColumnRenamed("text", "tb"), "b")
-        links = both.withColumn("sim", alike("ta", "tb")).where(F.col("sim") >= least)
+        both = many_to_one(many_to_one(pairs, sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a"), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+        links = both.withColumn("sim", shared_part("sa", "sb")).where(F.col("sim") >= least)
         return links.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit("near").alias("relation"), F.col("sim").alias("strength"))
 
     links = keep.keep(verified(pairs))
@@ -121,17 +137,12 @@ def chained(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, least: float) -> DataFrame:
-    """(id, size, shingle, at, early): of every text (id, text) the shingles, rarest first, of which two near texts share one, with their places.
+    """(id, size, shingle, at, early): of every text (id, shingles) the shingles, rarest first, of which two near texts share one, with their places.
 
     A text of n shingles shares at least ``least`` * n with a near one, so one of them is among its first n - least * n + 1. Shingles of one text
     only are left out; ``early`` marks the first EARLY others.
     """
-
-    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({"id": part["id"], "shingle": [shingles(t).astype(np.int64) for t in part["text"]]})
-
-    each = texts.select("id", "text").mapInPandas(split, "id long, shingle array<long>").select("id", F.explode("shingle").alias("shingle"))
+    each = texts.select("id", F.explode("shingles").alias("shingle"))
     counted = many_to_one(each, each.groupBy("shingle").agg(F.count("*").alias("df")), "shingle")
     order = counted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s")).withColumn("size", F.size("s"))
     order = order.select("id", "size", F.size(F.filter("s", lambda x: x["df"] == 1)).alias("alone"), F.posexplode(F.slice("s", F.lit(1), (F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int"))).alias("at", "x"))

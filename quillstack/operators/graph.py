@@ -107,9 +107,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable. Every node takes the least label around it and follows its label's label, until nothing changes."""
     keep = scratch(edges.sparkSession, "components")
     ways = keep.keep(both_ways(edges).select("node", "other").distinct())
+    hot = hot_list(ways.groupBy("other").agg(F.count(F.lit(1)).alias("n")), "other", ways.count())  # vertices with very many edges
     labels = keep.keep(ways.groupBy(F.col("node").alias("id")).agg(F.least(F.min("other"), F.first("node")).alias("component")))
     while True:
-        around = many_to_one(ways.withColumnRenamed("other", "id"), labels, "id").groupBy(F.col("node").alias("id")).agg(F.min("component").alias("near"))
+        around = many_to_one(ways.withColumnRenamed("other", "id"), labels, "id", hot=hot).groupBy(F.col("node").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(around, "id").select("id", F.least("component", "near").alias("next"), "component")
         jump = many_to_one(step.withColumnRenamed("id", "of").withColumnRenamed("next", "id"), labels.withColumnRenamed("component", "further"), "id", "left")
         new = keep.keep(jump.select(F.col("of").alias("id"), F.least("id", F.coalesce("further", "id")).alias("next"), "component"))
