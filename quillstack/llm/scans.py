@@ -38,6 +38,16 @@ _NUMBER = re.compile(r"[$€£#]?\d{1,3}(?:,\d{3})+(?:\.\d+)?%?|[$€£#]?\d+(?:
 _DOCKET = re.compile(r"([\dOolISB]{4})-([A-Z0-9]{2})-([\dOolISB]{4,8})")
 
 
+_ANY_DIGIT, _SMALL_NUMBER, _OTHER_NUMBER, _ROMAN = re.compile(r"\d"), re.compile(r"\d{1,3}"), re.compile(r"[\d.,$/:-]+"), re.compile("[ivxlIVXL]{1,7}")
+_DASHED, _STAMP, _FRACTION = re.compile(r"[-–—~·.\[(]+ ?\w{1,4} ?[-–—~·.\])]+"), re.compile(r"^[A-Z]{1,5}[-_ ]?\d{5,}$"), re.compile(r"\s\d{1,3}\s?/\s?\d{1,3}$")
+_PAGE, _OF = re.compile(r"\b(?:p[a@o]ge?|p[a@]9e|pg|p\.|seite|p[aá]gina)\s*\d", re.I), re.compile(r"\b\d+\s+of\s+\d+$")
+_DOCKET_NO, _CASE_NO, _VERSUS = re.compile(r"\d{4}-[A-Z0-9]{2}-\d{4,}"), re.compile(r"^c[a@]\w?[e5s9c]\w? n[o0]\b", re.I), re.compile(r"\sv[.s]{0,2}\s")
+_IN_RE, _TITLE_DASH = re.compile(r"^[I1l]N R[EF]\b"), re.compile(r"^[A-Z0-9]{4,} - \S")
+_GAP, _GAP_NUMBER = re.compile(r"\S {3,}\S"), re.compile(r" {3,}\d{1,4}$")
+#: Words of the longest line that furniture repeats.
+AGAIN = 8
+
+
 # --- Labelling of lines ---
 def line_features(line: str, seen: int) -> list[str]:
     """Layout of one line. ``seen`` is how often its shape occurs on the page."""
@@ -46,46 +56,50 @@ def line_features(line: str, seen: int) -> list[str]:
         return ["blank"]
     letters = [c for c in s if c.isalpha()]
     words = s.split()
-    out = ["bias", f"words{min(len(words), 6)}", f"len{min(len(s) // 12, 6)}"]
-    if letters and sum(c.isupper() for c in letters) > 0.9 * len(letters):
+    n, digit = len(words), _ANY_DIGIT.search(s) is not None
+    out = ["bias", f"words{min(n, 6)}", f"len{min(len(s) // 12, 6)}"]
+    caps = bool(letters) and sum(c.isupper() for c in letters) > 0.9 * len(letters)
+    if caps:
         out.append("caps" if len(letters) > 3 else "caps_short")
-    if re.fullmatch(r"\d{1,3}", s):
-        out.append("small_number")
-    elif re.fullmatch(r"[\d.,$/:-]+", s):
-        out.append("other_number")
-    if re.fullmatch(r"[ivxlIVXL1]{1,7}", s) and re.fullmatch(r"[ivxlIVXL]{1,7}", s):
-        out.append("roman")
-    if re.fullmatch(r"[-–—~·.\[(]+ ?\w{1,4} ?[-–—~·.\])]+", s) and any(c.isdigit() for c in s):
+    if n == 1:
+        if _SMALL_NUMBER.fullmatch(s):
+            out.append("small_number")
+        elif _OTHER_NUMBER.fullmatch(s):
+            out.append("other_number")
+        if _ROMAN.fullmatch(s):
+            out.append("roman")
+    if n <= 3 and digit and _DASHED.fullmatch(s):
         out.append("dashed_number")
-    if re.search(r"(?i)\b(?:p[a@o]ge?|p[a@]9e|pg|p\.|seite|p[aá]gina)\s*\d", s) or re.search(r"\b\d+\s+of\s+\d+$", s):
+    if digit and (_PAGE.search(s) or _OF.search(s)):
         out.append("page_word")
-    if re.match(r"^[A-Z]{1,5}[-_ ]?\d{5,}$", s):
+    if n <= 2 and digit and _STAMP.match(s):
         out.append("stamp")
-    if re.search(r"_{3,}", s):
+    if "___" in s:
         out.append("ruled")
-    if re.search(r"\s\d{1,3}\s?/\s?\d{1,3}$", s):
+    if "/" in s and digit and _FRACTION.search(s):
         out.append("fraction")
-    if re.search(r"\d{4}-[A-Z0-9]{2}-\d{4,}", s):
-        out.append("docket" if len(words) <= 6 else "docket_in_text")
-    if re.match(r"(?i)^c[a@]\w?[e5s9c]\w? n[o0]\b", s) and len(words) <= 6:
+    if digit and "-" in s and _DOCKET_NO.search(s):
+        out.append("docket" if n <= 6 else "docket_in_text")
+    if n <= 6 and s[0] in "cC" and _CASE_NO.match(s):
         out.append("case_no")
-    if re.search(r"\sv[.s]{0,2}\s", s) and "caps" in out:
+    if "caps" in out and _VERSUS.search(s):
         out.append("versus")
-    if re.match(r"^[I1l]N R[EF]\b", s):
+    if s[0] in "I1l" and _IN_RE.match(s):
         out.append("in_re")
-    if re.match(r"^[A-Z0-9]{4,} - \S", s) and len(words) <= 6:
+    if n <= 6 and " - " in s and _TITLE_DASH.match(s):
         out.append("title_dash")
-    if re.search(r"\S {3,}\S", line.strip()):
-        out.append("gap")
-    if re.search(r" {3,}\d{1,4}$", s):
-        out.append("gap_number")
+    if "   " in s:
+        if _GAP.search(s):
+            out.append("gap")
+        if digit and _GAP_NUMBER.search(s):
+            out.append("gap_number")
     if line[:2] == "  ":
         out.append("indented")
     out.append("stop" if s[-1] in ".!?:;" else "comma" if s[-1] in "," else "hyphen" if s[-1] in HYPHENS else "open")
     out.append("lower" if s[0].islower() else "upper" if s[0].isupper() else "digit" if s[0].isdigit() else "other")
-    if seen > 1 and len(words) <= 8:
+    if seen > 1 and n <= AGAIN:
         out.append("again")
-    if "docket" in out and "lower" not in out and len(words) <= 3 and out[-1] != "lower":
+    if "docket" in out and "lower" not in out and n <= 3 and out[-1] != "lower":
         out.append("docket_alone")
     return out
 
@@ -102,10 +116,11 @@ def units_of(pages: list[list[str]], memo: dict[tuple, int], units: list[list[st
     """Pages as lists of unit numbers; distinct feature lists are added to ``units``."""
     out = []
     for lines in pages:
-        counts = Counter(shape(x) for x in lines)
+        shapes = [shape(x) if len(x.split(None, AGAIN)) <= AGAIN else "" for x in lines]
+        counts = Counter(shapes)
         row = []
-        for x in lines:
-            feats = line_features(x, counts[shape(x)])
+        for x, y in zip(lines, shapes):
+            feats = line_features(x, counts[y] if y else 1)
             key = tuple(feats)
             if key not in memo:
                 memo[key] = len(units)
@@ -137,7 +152,7 @@ def composed_pages(n: int = PAGES, seed: int = 5) -> tuple[list[list[str]], list
         pad = "   " if rng.random() < 0.3 else ""
         return pad + [
             str(no), f"- {no} -", f"Page {no} of {total}", f"Page {no}   {docket()}", ["i", "ii", "iii", "iv", "v", "vi", "vii"][no % 7], f"{rng.choice(['BRX', 'DEF', 'ABC', 'TR'])}{rng.randint(10000, 9999999):07d}",
-            f"Initials ____   {no}/{total}", f"{rng.choice(['MOTION', 'ORDER', 'LETTER', 'LEASE', 'REPORT', 'COMPLAINT'])} - {name()}", f"IN RE {name().split()[1].upper()}", f"{name().split()[1].upper()} v. {firm()}",
+            f"Seen by ____   {no}/{total}", f"{rng.choice(['MOTION', 'ORDER', 'LETTER', 'LEASE', 'REPORT', 'COMPLAINT'])} - {name()}", f"IN RE {name().split()[1].upper()}", f"{name().split()[1].upper()} v. {firm()}",
             f"{firm()}     {rng.randint(2015, 2026)}", f"Case No. {docket()}", f"Case No. {docket()}   Page {no}", f"{rng.choice(['Ca5e', 'Casc', 'C@se'])} No. {docket()}" + rng.choice(["", f"   Page {no}"]),
         ][kind]
 
@@ -149,7 +164,7 @@ def composed_pages(n: int = PAGES, seed: int = 5) -> tuple[list[list[str]], list
         for _ in range(rng.randint(1, 5)):
             if rng.random() < 0.35:
                 made = " ".join(rng.choice(stem + ["facts", "statement", "notes", "room", "terms", "schedule", "exhibit"]) for _ in range(rng.randint(1, 3))).upper()
-                lines += [rng.choice(["TERMS", "ROOM NOTES", "STATEMENT OF FACTS", "SCHEDULE A", "BACKGROUND", "RELIEF SOUGHT", "Findings", "Dear Ms. Tobrick:", made, made, made]), ""]
+                lines += [rng.choice(["SUMMARY", "ANNEX B", "OVERVIEW", "Remarks", "Dear Mr. Keldworth:", made, made, made]), ""]
                 marks += [2, 0]
             if rng.random() < 0.3:
                 no += 1
@@ -225,17 +240,32 @@ def label_lines(pages: list[list[str]], model: Chain) -> list[np.ndarray]:
 
 
 # --- Words ---
+class Tokens(dict):
+    """What a token as it stands in a line is: (bare, word or '', small letters, begins with a capital, ends a sentence), remembered."""
+
+    def __missing__(self, raw: str) -> tuple[str, str, str, bool, bool]:
+        if len(self) > 200_000:
+            self.clear()
+        w = raw.strip(_EDGE)
+        word = w.rstrip(HYPHENS) if w.strip(HYPHENS) else ""
+        got = self[raw] = (w, word, word.lower(), w[:1].isupper() and len(w) > 1, raw.rstrip("\"')”’").endswith((".", "!", "?", ":")))
+        return got
+
+
+_TOKENS = Tokens()
+
+
 def page_items(lines: list[str], labels: np.ndarray) -> tuple[list[tuple], list[tuple]]:
     """(broken words, words) of the body of a page.
 
-    Broken: (line_no, left, right, mark). Words: (line_no, word, starts a sentence, between capitalised words).
+    Broken: (line_no, left, right, mark). Words: (line_no, word, in small letters, starts a sentence, between capitalised words).
     """
     body = [i for i, k in enumerate(labels) if k in (1, 2)]
     broken, words = [], []
     skip_first: set[int] = set()
     skip_last: set[int] = set()
     for a, i in enumerate(body):
-        m = _END.search(lines[i])
+        m = lines[i].rstrip()[-1:] in HYPHENS and _END.search(lines[i])
         if m and labels[i] == 1 and a + 1 < len(body):
             j = body[a + 1]
             right = lines[j].split()[0] if lines[j].split() else ""
@@ -244,17 +274,18 @@ def page_items(lines: list[str], labels: np.ndarray) -> tuple[list[tuple], list[
                 broken.append((i + 1, m[1], bare, m[0][len(m[1])]))
                 skip_last.add(i)
                 skip_first.add(j)
-    before, stop = "", True
+    before, stop, look = False, True, _TOKENS
     for i in body:
-        parts = lines[i].split()
-        for k, raw in enumerate(parts):
-            w = raw.strip(_EDGE)
-            ahead = parts[k + 1].strip(_EDGE) if k + 1 < len(parts) else ""
-            if w and not (k == 0 and i in skip_first) and not (k == len(parts) - 1 and i in skip_last) and w.strip(HYPHENS):
-                words.append((i + 1, w.rstrip(HYPHENS), stop, bool(ahead[:1].isupper()) and len(ahead) > 1 or (bool(before[:1].isupper()) and not stop and len(before) > 1)))
+        parts = [look[raw] for raw in lines[i].split()]
+        last = len(parts) - 1
+        for k, (w, word, low, titled, ends) in enumerate(parts):
             if w:
-                before = w
-            stop = raw.rstrip("\"')”’").endswith((".", "!", "?", ":")) or (not w and stop)
+                if word and not (k == 0 and i in skip_first) and not (k == last and i in skip_last):
+                    words.append((i + 1, word, low, stop, k < last and parts[k + 1][3] or before and not stop))
+                before = titled
+                stop = ends
+            else:
+                stop = ends or stop
         if i + 1 < len(labels) and labels[i + 1] == 0 and raw_end(lines[i]):
             stop = True
     return broken, words
@@ -322,8 +353,8 @@ def word_counts(chunks: DataFrame) -> DataFrame:
                     continue
                 lines = text.split("\n")
                 _, words = page_items(lines, np.array([1 if x.strip() else 0 for x in lines]))
-                (scanned if ocr else clean).update(w[1].lower() for w in words)
-                titled.update(w[1].lower() for w in words if w[1][0].isupper() and not w[2])
+                (scanned if ocr else clean).update([w[2] for w in words])
+                titled.update([w[2] for w in words if not w[3] and w[1][0].isupper()])
             for c in (clean, scanned):  # the parts of compounds are words as well
                 c.update({p: n for w, n in list(c.items()) if "-" in w for p in w.split("-") if p.isalpha()})
             every = list(clean.keys() | scanned.keys())
@@ -354,8 +385,8 @@ def repairs(chunks: DataFrame) -> DataFrame:
                 rows += [(chunk, int(i) + 1, "furniture", "", "", False, False) for i in np.flatnonzero(labels == 3)]
                 broken, words = page_items(lines, labels)
                 rows += [(chunk, n, "hyphen", a, b, h == "-", False) for n, a, b, h in broken]
-                for n, w, starts, among in words:
-                    if w.lower() in known.value:
+                for n, w, low, starts, among in words:
+                    if low in known.value:
                         continue
                     fixed = number_of(w)
                     if fixed:
