@@ -54,8 +54,8 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) ->
     return centres.astype(np.float32)
 
 
-def search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Beam search of all rows of ``q`` at once: ids and similarities, best first; -1 pads."""
+def search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.ndarray, beam: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Beam search of all rows of ``q`` at once: ids and similarities, best first; -1 pads. Rows that are nodes themselves, ``own``, start there too."""
     m, n = len(q), len(x)
     seen = np.zeros((m, n), bool)
     rows = np.arange(m)[:, None]
@@ -65,10 +65,16 @@ def search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.ndarray,
     ids[:, : len(first)] = first
     sims[:, : len(first)] = q @ x[first].T
     seen[:, first] = True
+    if own is not None and len(first) < beam:
+        other = ~np.isin(own, first)
+        ids[other, len(first)] = own[other]
+        sims[other, len(first)] = np.einsum("ij,ij->i", q[other], x[own[other]])
+        seen[other, own[other]] = True
     order = np.argsort(-sims, 1, kind="stable")
     ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
     opened = ids < 0
     live = np.arange(m)
+    seen = seen.ravel()
     while len(live):
         lo, li, ls = opened[live], ids[live], sims[live]
         r = np.arange(len(live))[:, None]
@@ -80,17 +86,30 @@ def search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, q: np.ndarray,
         near.sort(1)
         ok = near >= 0
         ok[:, 1:] &= near[:, 1:] != near[:, :-1]
-        ok &= ~seen[live[:, None], near]
-        gr, gc = np.nonzero(ok)
-        seen[live[gr], near[gr, gc]] = True
-        s = np.full(near.shape, -np.inf, np.float32)
-        s[gr, gc] = np.einsum("ij,ij->i", q[live[gr]], x[near[gr, gc]])
-        ai, as_, ao = np.concatenate([li, near], 1), np.concatenate([ls, s], 1), np.concatenate([lo, ~ok], 1)
-        top = np.argpartition(-as_, beam - 1, 1)[:, :beam]
-        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(as_, top, 1), 1, kind="stable"), 1)
-        sims[live], opened[live] = np.take_along_axis(as_, top, 1), np.take_along_axis(ao, top, 1)
-        ids[live] = np.where(np.isneginf(sims[live]), -1, np.take_along_axis(ai, top, 1))
-        live = live[~opened[live].all(1)]
+        # Nodes not seen before, row by row; only those better than the worst of the beam go on.
+        at = np.flatnonzero(ok)
+        row, node = at // near.shape[1], near.ravel()[at]
+        cell = live[row] * n + node
+        new = ~seen[cell]
+        row, node = row[new], node[new]
+        seen[cell[new]] = True
+        s = np.einsum("ij,ij->i", q[live[row]], x[node])
+        good = s > ls[row, -1]
+        row, node, s = row[good], node[good], s[good]
+        count = np.bincount(row, minlength=len(live))
+        place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        width = int(count.max(initial=0))
+        if width:
+            mi, ms = np.full((len(live), width), -1, np.int32), np.full((len(live), width), -np.inf, np.float32)
+            mi[row, place], ms[row, place] = node, s
+            as_ = np.concatenate([ls, ms], 1)
+            top = np.argsort(-as_, 1, kind="stable")[:, :beam]
+            ls = np.take_along_axis(as_, top, 1)
+            li = np.where(np.isneginf(ls), -1, np.take_along_axis(np.concatenate([li, mi], 1), top, 1))
+            lo = np.take_along_axis(np.concatenate([lo, mi < 0], 1), top, 1)
+            ids[live], sims[live] = li, ls
+        opened[live] = lo
+        live = live[~lo.all(1)]
     return ids, sims
 
 
@@ -101,20 +120,17 @@ def prune(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, degree: int, alpha
     cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
     v = x[cand]
     far = np.where(cand < 0, np.inf, 1 - np.einsum("bd,bkd->bk", x[nodes], v)).astype(np.float32)
-    order = np.argsort(far, 1, kind="stable")
-    cand, far = np.take_along_axis(cand, order, 1), np.take_along_axis(far, order, 1)
-    v = np.take_along_axis(v, order[:, :, None], 1)
     between = 1 - v @ v.transpose(0, 2, 1)
-    alive, rows = ~np.isinf(far), np.arange(len(nodes))
+    left, rows = far.copy(), np.arange(len(nodes))
     out = np.full((len(nodes), degree), -1, np.int32)
     for j in range(degree):
-        some = alive.any(1)
+        pick = left.argmin(1)
+        some = ~np.isinf(left[rows, pick])
         if not some.any():
             break
-        pick = alive.argmax(1)
         out[:, j] = np.where(some, cand[rows, pick], -1)
-        alive[rows, pick] = False
-        alive &= ~((alpha * between[rows, pick] <= far) & some[:, None])
+        left[rows, pick] = np.inf
+        left[(alpha * between[rows, pick] <= far) & some[:, None]] = np.inf
     return out
 
 
@@ -206,29 +222,33 @@ def nearest_items(vectors: DataFrame, k: int = 5, probes: int = PROBES) -> DataF
         return pd.DataFrame({"cell": group["cell"], "part": group["part"], "content_id": group["content_id"], "vector": list(x), "node": np.arange(len(x), dtype=np.int32), "links": list(graph), "start": first})
 
     index = keep.keep(homes.groupBy("cell", "part").applyInPandas(graphs, "cell int, part int, content_id long, vector array<float>, node int, links array<int>, start boolean"))
-    asked = routed.select("content_id", "vector", F.explode("cells").alias("cell"))
+    asked = routed.select("content_id", "vector", F.col("cells")[0].alias("home"), F.explode("cells").alias("cell"))
     asks = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
     asks = F.broadcast(keep.keep(asks.join(parts, "cell")))
-    queries = asked.join(asks, "cell").select(
-        "content_id", "vector", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("content_id", F.lit(3)), "slices").cast("int").alias("slice")
-    )
-    spread = index.join(asks.select("cell", "slices"), "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    slice_of = F.pmod(F.xxhash64("content_id", F.lit(3)), "slices").cast("int")
+    queries = asked.join(asks, "cell").select("content_id", "vector", "home", "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), slice_of.alias("slice"), F.pmod(F.xxhash64("content_id"), "parts").cast("int").alias("home_part"))
+    # A vector that is a node of the shard it asks is there already.
+    queries = queries.where((F.col("cell") != F.col("home")) | (F.col("part") != F.col("home_part"))).select("content_id", "vector", "cell", "part", "slice")
+    spread = index.join(asks.select("cell", "slices"), "cell").withColumn("own_slice", slice_of).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
 
     def answer(key, nodes: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        if not len(nodes) or not len(qs):
+        if not len(nodes):
             return pd.DataFrame({"content_id": [], "neighbour": [], "sim": []})
         nodes = nodes.sort_values("node")
         x, graph = np.stack(nodes["vector"].to_numpy()).astype(np.float32), np.stack(nodes["links"].to_numpy()).astype(np.int32)
         starts, names = np.flatnonzero(nodes["start"].to_numpy()).astype(np.int32), nodes["content_id"].to_numpy()
-        q, who = unit(qs["vector"]), qs["content_id"].to_numpy()
+        mine = np.flatnonzero(nodes["own_slice"].to_numpy() == nodes["slice"].to_numpy()).astype(np.int32)
         out = []
-        for lo in range(0, len(q), 1024):
-            ids, sims = search(x, graph, starts, q[lo : lo + 1024], BEAM)
-            ids, sims, w = ids[:, : k + 1 + 2], sims[:, : k + 1 + 2], who[lo : lo + 1024]
-            ok = (ids >= 0) & (names[ids] != w[:, None])
-            r, c = np.nonzero(ok)
-            exact = np.einsum("ij,ij->i", q[lo + r].astype(np.float64), x[ids[r, c]].astype(np.float64))
-            out.append(pd.DataFrame({"content_id": w[r], "neighbour": names[ids[r, c]], "sim": exact}))
+        for q, who, own in ((x[mine], names[mine], mine), (unit(qs["vector"]) if len(qs) else x[:0], qs["content_id"].to_numpy(), None)):
+            for lo in range(0, len(q), 1024):
+                ids, sims = search(x, graph, starts, q[lo : lo + 1024], BEAM, None if own is None else own[lo : lo + 1024])
+                ids, sims, w = ids[:, : k + 1 + 2], sims[:, : k + 1 + 2], who[lo : lo + 1024]
+                ok = (ids >= 0) & (names[ids] != w[:, None])
+                r, c = np.nonzero(ok)
+                exact = np.einsum("ij,ij->i", q[lo + r].astype(np.float64), x[ids[r, c]].astype(np.float64))
+                out.append(pd.DataFrame({"content_id": w[r], "neighbour": names[ids[r, c]], "sim": exact}))
+        if not out:
+            return pd.DataFrame({"content_id": [], "neighbour": [], "sim": []})
         return pd.concat(out)
 
     hits = spread.groupBy("cell", "part", "slice").cogroup(queries.groupBy("cell", "part", "slice")).applyInPandas(answer, "content_id long, neighbour long, sim double")
