@@ -15,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstack.operators.lineage import scratch
+from quillstack.operators.graph import top_per
+from quillstack.operators.lineage import Scratch, scratch
+from quillstack.operators.skew import many_to_one
 
 #: Vectors per cell aimed at; most cells; most vectors in a shard; most queries in a slice.
 CELL, MOST_CELLS, SHARD, SLICE = 4096, 4096, 8192, 8192
@@ -182,10 +184,32 @@ def unit(v: pd.Series) -> np.ndarray:
 def nearest_items(vectors: DataFrame, k: int = 5, probes: int = PROBES) -> DataFrame:
     """(content_id, neighbour, sim): the ``k`` most similar others of every row of ``vectors`` (content_id unique, vector).
 
-    Ties go to the smaller id. Fewer than ``k`` others give fewer rows; an empty or one-row table gives none.
+    Ties go to the smaller id. Fewer than ``k`` others give fewer rows; an empty or one-row table gives none. Exact copies, however many,
+    are one node of the graphs; each copy has the others of its class as its nearest, the smallest ids first.
     """
+    keep = scratch(vectors.sparkSession, "neighbours")
+    marked = keep.keep(vectors.select("content_id", "vector", F.hex(F.xxhash64("vector")).alias("h"), F.hex(F.xxhash64(F.lit(1), "vector")).alias("h2")).select("content_id", "vector", F.concat("h", F.lit("-"), "h2").alias("key")))
+    classes = marked.groupBy("key").agg(F.min("content_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = keep.keep(many_to_one(marked.select("content_id", "key"), classes.select("key", "rep"), "key").select("content_id", "rep"))
+    others = copies.where("content_id <> rep").select("content_id")
+    found = nearest_distinct(marked.join(others, "content_id", "left_anti").select("content_id", "vector"), k, probes, keep)
+    # The first k + 1 of a class are enough: one of them may be the asking copy itself.
+    first = top_per(copies, "rep", [F.col("content_id")], k + 1).groupBy("rep").agg(F.collect_list("content_id").alias("ids"))
+    own = copies.select("rep").distinct().select(F.col("rep").alias("content_id"), F.col("rep").alias("neighbour"), F.lit(1.0).alias("sim"))
+    each = many_to_one(found.unionByName(own), first.withColumnRenamed("rep", "neighbour"), "neighbour", "left", hot=[])
+    each = each.select("content_id", "sim", F.explode(F.coalesce("ids", F.array("neighbour"))).alias("id"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), "id"))), 1, k + 1)
+    lists = keep.keep(each.groupBy("content_id").agg(best.alias("best")).withColumnRenamed("content_id", "rep"))
+    asking = copies.select("content_id", "rep")
+    single = lists.join(copies.select("rep").distinct(), "rep", "left_anti").select(F.col("rep").alias("content_id"), "best")
+    every = single.unionByName(many_to_one(asking, lists, "rep").select("content_id", "best"))
+    nearest = F.slice(F.filter("best", lambda x: x["id"] != F.col("content_id")), 1, k)
+    return every.select("content_id", F.explode(nearest).alias("x")).select("content_id", F.col("x.id").alias("neighbour"), (-F.col("x.far")).alias("sim"))
+
+
+def nearest_distinct(vectors: DataFrame, k: int, probes: int, keep: Scratch) -> DataFrame:
+    """``nearest_items`` of vectors without exact copies."""
     spark = vectors.sparkSession
-    keep = scratch(spark, "neighbours")
     vectors = keep.keep(vectors)
     n = vectors.count()
     cells = min(MOST_CELLS, max(1, -(-n // CELL)))

@@ -43,3 +43,17 @@ def test_graph_is_bounded():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     graph, starts = N.build(x)
     assert graph.shape == (300, N.DEGREE) and graph.max() < 300 and len(starts) and (graph[:, 0] >= 0).all()
+
+
+def test_copies_are_one_node(frame):
+    """A third of the rows are one vector: each copy has the smallest other copies, and no copy enters a graph twice."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 64)).astype(np.float32)
+    rows = [row(i, i, v) for i, v in enumerate(x)] + [row(100 + i, 100 + i, x[7]) for i in range(30)] + [row(200, 200, x[9])]
+    got = {}
+    for r in N.nearest_items(N.usable(frame(SCHEMA, *rows))).collect():
+        got.setdefault(r["content_id"], []).append(r["neighbour"])
+    assert set(got) == {r[1] for r in rows} and all(len(v) == 5 == len(set(v)) for v in got.values())
+    class_ = [7, *range(100, 130)]
+    assert all(set(got[c]) == set([m for m in class_ if m != c][:5]) for c in class_)
+    assert 200 in got[9] and 9 in got[200]
