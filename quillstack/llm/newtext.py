@@ -13,12 +13,15 @@ from collections.abc import Iterator
 from datetime import datetime
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a shingle, share of a line's words that must be inherited.
 SHINGLE, INHERITED = 4, 0.6
+#: Factor of the rolling hash, words of texts that a task remembers.
+BASE, REMEMBERED = np.uint64(1_000_003), 2_000_000
 
 _MONTHS = {m: i % 12 + 1 for i, m in enumerate("january february march april may june july august september october november december jan feb mar apr may jun jul aug sep oct nov dec".split())}
 _PREFIX = re.compile(r"^\s{0,3}[>|:](?:\s|[>|:]|$|(?=\S))")
@@ -38,12 +41,12 @@ _CLOSING = re.compile(
     r"(?:mit )?(?:freundlichen?|besten?|herzlichen?|viele) gr(?:ü|ue)(?:ß|ss)en?|mfg|danke)\s*[,.!;–-]?\s*$", re.I)
 _DASHES = re.compile(r"^\s*(?:--|—|__)\s*$")
 _FOOTER = re.compile(
-    r"^\s*(?:sent from (?:my|a|an)\b(?!.*:.*\bphotos?\b)|sent (?:via|using) |get the mail app|get .{3,30} for (?:ios|android|mobile)|enviado desde (?:mi|el)\b|envoyé de(?:puis)? mon|von meinem .{2,30} gesendet|gesendet von|"
+    r"^\s*(?:sent from (?:my|a|an)\b(?!.*:.*\bphotos?\b)|sent (?:via|using) |get .{3,30} for (?:ios|android|mobile)|enviado desde (?:mi|el)\b|envoyé de(?:puis)? mon|von meinem .{2,30} gesendet|gesendet von|"
     r"this is an automat|please do not reply|este (?:es un )?mensaje (?:automático|es confidencial)|ce (?:message|courriel) est confidentiel|diese (?:e-?mail|nachricht) ist vertraulich|"
     r"please consider the environment|(?:confidentiality|legal|privacy|important)? ?(?:notice|disclaimer)\s*:|"
     r"this (?:e-?mail|message|communication)(?: message)?(?:,? (?:and|including) any (?:files|attachments?)\b.*| (?:is|are|may|contains?|was|and its)\b.*\b(?:confidential|privileged|intended|addressee).*| may contain (?:privileged|confidential).*)|"
     r"privileged (?:and|&) confidential\b|confidential (?:and|&) privileged\b|attorney[- ]client privileged|if you are not the (?:intended|named)|if you (?:have )?received this|the views (?:expressed )?in this (?:mail|e-?mail|message)|"
-    r"nothing in this (?:message|e-?mail) (?:forms|creates)|tax remarks are not advice)", re.I)
+    r"nothing (?:contained )?in this (?:message|e-?mail|communication)\b|(?:any )?(?:tax|legal|investment) (?:advice|comments?|remarks?|statements?)\b.*\bnot\b)", re.I)
 _WORD = re.compile(r"\w+")
 
 
@@ -69,23 +72,36 @@ def lines_of(content: str) -> list[str]:
     return [x.rstrip("\r").replace("\xa0", " ") for x in content.split("\n")]
 
 
-def intro_end(lines: list[str], i: int) -> int:
-    """Line after an introduction of a quotation that begins at line ``i``, or ``i`` if none does."""
-    n, line = len(lines), lines[i]
-    if _RULED.match(line):
-        j = i + 1
-        while j < n and not lines[j].strip():
-            j += 1
-        return headers_end(lines, j) if j < n and _FROM.match(lines[j]) else i + 1
-    if _RULE.match(line) and line.strip()[0] == "_" and i + 1 < n and _FROM.match(lines[i + 1]):
-        return headers_end(lines, i + 1)
-    if _FROM.match(line) and i + 1 < n and _SENT.match(lines[i + 1]):
-        return headers_end(lines, i)
-    if _WROTE.search(line) and len(line) < 250 and stamps(line):
-        return i + 1
-    if _OPENS.match(line) and i + 1 < n and _WROTE.search(lines[i + 1]) and len(lines[i + 1]) < 120 and stamps(line + " " + lines[i + 1]):
-        return i + 2
-    return i
+def says(line: str) -> bool:
+    """Whether a line ends in a word of saying; most lines lack them all, and need no pattern."""
+    low = line.lower()
+    return ("wrote" in low or "writes" in low or "schrieb" in low or "escribi" in low or "crit" in low) and _WROTE.search(line) is not None
+
+
+def intro_ends(lines: list[str]) -> list[int]:
+    """For every line the line after an introduction of a quotation that begins there, or its own number if none does."""
+    said = [says(x) for x in lines]
+    said.append(False)
+    n, out = len(lines), []
+    for i, line in enumerate(lines):
+        first, end = line.lstrip()[:1], i
+        if not first:
+            pass
+        elif first in "-bB" and _RULED.match(line):
+            j = i + 1
+            while j < n and not lines[j].strip():
+                j += 1
+            end = headers_end(lines, j) if j < n and _FROM.match(lines[j]) else i + 1
+        elif first == "_" and i + 1 < n and _RULE.match(line) and _FROM.match(lines[i + 1]):
+            end = headers_end(lines, i + 1)
+        elif first in "*fFdDvV" and i + 1 < n and _FROM.match(line) and _SENT.match(lines[i + 1]):
+            end = headers_end(lines, i)
+        elif said[i] and len(line) < 250 and stamps(line):
+            end = i + 1
+        elif said[i + 1] and len(lines[i + 1]) < 120 and _OPENS.match(line) and stamps(line + " " + lines[i + 1]):
+            end = i + 2
+        out.append(end)
+    return out
 
 
 def headers_end(lines: list[str], i: int) -> int:
@@ -99,45 +115,68 @@ def references(content: str | None) -> list[str]:
     if not content:
         return []
     lines, out, i = lines_of(content), [], 0
+    ends = intro_ends(lines)
     while i < len(lines):
-        end = intro_end(lines, i)
+        end = ends[i]
         if end > i:
             out += stamps(" ".join(lines[i:end]))
         i = max(end, i + 1)
     return list(dict.fromkeys(out))
 
 
+def words_of_line(line: str) -> list[str]:
+    """Words in small letters, without the marks of quotation."""
+    return _WORD.findall((_MARKS.sub("", line) if line.lstrip()[:1] in (">", "|", ":") else line).lower())
+
+
+def rolled(words: list[str]) -> np.ndarray:
+    """Rolling hash of every SHINGLE words, modulo 2**64."""
+    codes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    out = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
+    for k in range(SHINGLE):
+        out = out * BASE + codes[k : k + len(out)]
+    return out
+
+
+class Words(dict):
+    """Words of texts, line by line one behind the other, remembered while they are small: a mail has many descendants."""
+
+    size = 0
+
+    def __missing__(self, text: str) -> list[str]:
+        got = [w for line in lines_of(text) for w in words_of_line(line)]
+        self.size += len(got)
+        if self.size > REMEMBERED:
+            self.clear()
+            self.size = len(got)
+        self[text] = got
+        return got
+
+
+_SEEN = Words()
+
+
 class Ancestors:
     """Words of the ancestors of a mail, indexed by the rolling hash of their shingles."""
 
-    BASE, MASK = 1_000_003, (1 << 61) - 1
-
     def __init__(self, texts: list[str]):
         self.words: list[str] = []
         for t in texts:
-            for line in lines_of(t):
-                self.words += _WORD.findall(_MARKS.sub("", line).lower())
+            self.words += _SEEN[t]
             self.words.append("")
-        self.where: dict[int, list[int]] = {}
-        for p, h in enumerate(self.rolled(self.words)):
-            self.where.setdefault(h, []).append(p)
-
-    def rolled(self, words: list[str]) -> Iterator[int]:
-        top, h = pow(self.BASE, SHINGLE, self.MASK), 0
-        codes = [hash(w) & self.MASK for w in words]
-        for i, c in enumerate(codes):
-            h = (h * self.BASE + c) % self.MASK
-            if i >= SHINGLE:
-                h = (h - codes[i - SHINGLE] * top) % self.MASK
-            if i >= SHINGLE - 1:
-                yield h
+        self.hashes = rolled(self.words)
 
     def inherited(self, words: list[str]) -> list[bool]:
         """Which words lie in runs aligned with an ancestor; runs that go on where the last one ended are preferred."""
         marked, a = [False] * len(words), self.words
-        hashes, i, last = list(self.rolled(words)), 0, 0
+        mine = rolled(words)
+        where: dict[int, list[int]] = {}
+        shared = np.flatnonzero(np.isin(self.hashes, mine))
+        for p, h in zip(shared.tolist(), self.hashes[shared].tolist()):
+            where.setdefault(h, []).append(p)
+        hashes, i, last = mine.tolist(), 0, 0
         while i < len(hashes):
-            at = [p for p in self.where.get(hashes[i], ()) if a[p : p + SHINGLE] == words[i : i + SHINGLE]]
+            at = [p for p in where.get(hashes[i], ()) if a[p : p + SHINGLE] == words[i : i + SHINGLE]]
             if not at:
                 i += 1
                 continue
@@ -157,14 +196,15 @@ def quoted_lines(lines: list[str], ancestors: list[str]) -> list[bool]:
     """Lines that are quoted or introduce a quotation."""
     n = len(lines)
     gone = [False] * n
-    if not ancestors and not any(intro_end(lines, i) > i for i in range(n)):
+    ends = intro_ends(lines)
+    if not ancestors and all(end == i for i, end in enumerate(ends)):
         return gone
     share = [0.0] * n
     counts = [0] * n
     if ancestors:
         flat, owner = [], []
         for i, line in enumerate(lines):
-            ws = _WORD.findall(_MARKS.sub("", line).lower())
+            ws = words_of_line(line)
             counts[i] = len(ws)
             flat += ws
             owner += [i] * len(ws)
@@ -173,7 +213,7 @@ def quoted_lines(lines: list[str], ancestors: list[str]) -> list[bool]:
         share = [s / c if c else 0.0 for s, c in zip(share, counts)]
     i = 0
     while i < n:
-        end = intro_end(lines, i)
+        end = ends[i]
         if end == i:
             i += 1
             continue
@@ -187,7 +227,7 @@ def quoted_lines(lines: list[str], ancestors: list[str]) -> list[bool]:
         if mark:  # marked quotation: new lines may stand between its lines
             known = bool(ancestors) and any(share[k] >= INHERITED for k in range(j, n) if lines[k].lstrip()[:1] == mark)
             k = j
-            while k < n and (k == j or intro_end(lines, k) == k):
+            while k < n and (k == j or ends[k] == k):
                 bare = lines[k].strip(" >|:")
                 if lines[k].lstrip()[:1] == mark and _PREFIX.match(lines[k]):
                     lone = known and counts[k] >= SHINGLE and share[k] == 0 and k > j and not (lines[k - 1].lstrip()[:1] == mark or k + 1 < n and lines[k + 1].lstrip()[:1] == mark)
@@ -203,7 +243,7 @@ def quoted_lines(lines: list[str], ancestors: list[str]) -> list[bool]:
         elif ancestors and any(share[k] >= INHERITED for k in range(j, min(n, j + 12))):
             k = j  # plain quotation: as far as the ancestors' words go
             while k < n:
-                if counts[k] and share[k] < INHERITED and not _PREFIX.match(lines[k]) and intro_end(lines, k) == k:
+                if counts[k] and share[k] < INHERITED and not _PREFIX.match(lines[k]) and ends[k] == k:
                     ahead = list(islice((share[x] for x in range(k + 1, n) if counts[x]), 3))
                     if not any(s >= INHERITED for s in ahead):
                         break
@@ -269,22 +309,24 @@ def new_text(emails: DataFrame) -> DataFrame:
     """(id, new_lines, new_text) of emails (id, content, sender, subject, thread_id, datetime_utc).
 
     Null or empty content gives no lines and an empty text. Mails without thread are placed by their subject, mails without date are
-    nobody's ancestor. The same mail stored again is one ancestor. Extra columns are ignored, an empty table gives no rows.
+    nobody's ancestor, nor are those without id. The same mail stored again is one ancestor. Extra columns are ignored, an empty table gives no rows.
     """
 
     @F.pandas_udf("array<string>")
     def refer(content: pd.Series) -> pd.Series:
         return content.map(references)
 
-    mails = emails.select("id", "content", "sender", "datetime_utc", F.when(F.col("thread_id").isNotNull(), F.concat(F.lit("t:"), "thread_id")).alias("thread"), subject_key("subject").alias("subject"))
+    thread = F.when(F.col("thread_id").isNotNull(), F.concat(F.lit("t:"), "thread_id"))
+    mails = emails.select("id", "content", "sender", "datetime_utc", thread.alias("thread"), subject_key("subject").alias("subject"))
     asked = mails.where("content != ''").select("id", F.coalesce("thread", "subject").alias("place"), refer("content").alias("refs")).where("size(refs) > 0")
     asked = asked.select("id", "place", F.explode("refs").alias("minute")).select("id", F.concat_ws(" ", "minute", "place").alias("key"))
+    # Mails meet by short keys and hashes; whole texts travel only where one is another's ancestor, equal texts once.
     offered = mails.where("content != '' and datetime_utc is not null").select(
-        F.explode(F.array_distinct(F.array(F.coalesce("thread", "subject"), "subject"))).alias("place"), F.date_format("datetime_utc", "yyyy-MM-dd HH:mm").alias("minute"), "content"
-    ).select(F.concat_ws(" ", "minute", "place").alias("key"), F.col("content").alias("ancestor"))
-    wanted = asked.select("key").distinct()
-    offered = offered.join(wanted, "key", "left_semi").distinct()
-    found = asked.join(offered, "key").groupBy("id").agg(F.sort_array(F.collect_set("ancestor")).alias("ancestors"))
+        F.explode(F.array_distinct(F.array(F.coalesce("thread", "subject"), "subject"))).alias("place"), F.date_format("datetime_utc", "yyyy-MM-dd HH:mm").alias("minute"), F.col("id").alias("ancestor"), F.xxhash64("content", F.length("content")).alias("print")
+    ).select(F.concat_ws(" ", "minute", "place").alias("key"), "ancestor", "print").groupBy("key", "print").agg(F.min("ancestor").alias("ancestor"))
+    pairs = asked.join(offered, "key").groupBy("id", "print").agg(F.min("ancestor").alias("ancestor"))
+    texts = mails.where("content != ''").select(F.col("id").alias("ancestor"), F.xxhash64("content", F.length("content")).alias("print"), "content")
+    found = pairs.join(texts, ["ancestor", "print"]).groupBy("id").agg(F.sort_array(F.collect_set("content")).alias("ancestors"))
     both = mails.select("id", "content", "sender").join(found, "id", "left")
 
     def reduce(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
