@@ -16,6 +16,8 @@ from quillstack.operators.graph import top_per
 
 #: Queries shipped to the tasks at once.
 BLOCK = 4096
+#: Blocks answered in one reading of the vectors; queries multiplied at once in a task.
+READ, ROWS = 16, 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,39 +49,50 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int | None = None, least:
     """(query_id, id, sim): for each query the ``k`` nearest other vectors, or all from similarity ``least`` on.
 
     Vectors must be of one length and not null; those of no length match nothing. Each task keeps the best k of its batch only, so
-    little travels. Ties go to the smaller id.
+    little travels. Ties go to the smaller id. ``READ`` blocks of queries are answered in one reading of the vectors.
     """
-    spark = vectors.sparkSession
-    out = None
-    for ids, rows in query_blocks(queries):
-        unit = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-        shipped = spark.sparkContext.broadcast((ids, unit))
-
-        def scan(parts: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            ids, unit = shipped.value
-            for part in parts:
-                if not len(part):
-                    continue
-                x = np.stack(part["vector"].to_numpy()).astype(np.float64)
-                own = part["id"].to_numpy()
-                sims = unit @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
-                sims[ids[:, None] == own[None, :]] = -np.inf
-                if least is not None:
-                    r, c = np.nonzero(sims >= least)
-                else:
-                    order = np.lexsort((np.broadcast_to(own, sims.shape), -sims.round(12)), axis=1)[:, :k]
-                    r, c = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
-                    good = np.isfinite(sims[r, c])
-                    r, c = r[good], c[good]
-                yield pd.DataFrame({"query_id": ids[r], "id": own[c], "sim": sims[r, c]})
-
-        some = vectors.select("id", "vector").mapInPandas(scan, "query_id long, id long, sim double")
-        out = some if out is None else out.unionByName(some)
+    out, held = None, []
+    for block in query_blocks(queries):
+        held.append(block)
+        if len(held) == READ:
+            out, held = _read(held, vectors, k, least, out), []
+    if held:
+        out = _read(held, vectors, k, least, out)
     if out is None:
         return vectors.where(F.lit(False)).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("sim"))
     return out if k is None else top_per(out, "query_id", [F.desc(F.round("sim", 12)), F.col("id")], k).drop("place")
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+
+def _read(blocks: list[tuple[np.ndarray, np.ndarray]], vectors: DataFrame, k: int | None, least: float | None, before: DataFrame | None) -> DataFrame:
+    shipped = vectors.sparkSession.sparkContext.broadcast([(ids, _unit(rows)) for ids, rows in blocks])
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if not len(part):
+                continue
+            own = part["id"].to_numpy()
+            x = _unit(np.stack(part["vector"].to_numpy()).astype(np.float64)).T
+            for every, rows in shipped.value:
+                for lo in range(0, len(every), ROWS):  # a slice of the queries bounds the matrix
+                    ids = every[lo : lo + ROWS]
+                    sims = rows[lo : lo + ROWS] @ x
+                    sims[ids[:, None] == own[None, :]] = -np.inf
+                    if least is not None:
+                        r, c = np.nonzero(sims >= least)
+                    else:
+                        sims = sims.round(12)
+                        worst = np.partition(sims, -k, axis=1)[:, -k] if k < sims.shape[1] else np.full(len(ids), -np.inf)
+                        r, c = np.nonzero((sims >= worst[:, None]) & np.isfinite(sims))  # ties are settled by id further on
+                    yield pd.DataFrame({"query_id": ids[r], "id": own[c], "sim": sims[r, c]})
+
+    out = vectors.select("id", "vector").mapInPandas(scan, "query_id long, id long, sim double")
+    return out if before is None else before.unionByName(out)
+
+
 def unit_vectors(rows: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Vectors scaled to length 1 where they are off by ``tolerance`` or more; those of no length stay."""
     size = norm(F.col("vector"))
