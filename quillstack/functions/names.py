@@ -70,3 +70,23 @@ def date_filter(c: str | Column) -> Column:
 def paragraphs_of(c: str | Column) -> Column:
     """Trimmed stretches between blank lines that are not empty."""
     return F.filter(F.transform(F.split(_col(c), "\n\n"), lambda p: F.trim(p, F.lit("\n\r\t "))), lambda p: p != "")
+
+
+def mail_search(query: str) -> Column:
+    """Predicate on mails (sender, recipient_to, subject, content, datetime_utc) for a search string.
+
+    from:, to: and subject: ask for a part of the field, after: and before: for a day (yyyy/mm/dd), other words for a part of subject or content;
+    all must hold. A null field holds nothing. An empty string admits every mail.
+    """
+    has = lambda c, w: F.coalesce(F.contains(F.lower(c), F.lit(w.lower())), F.lit(False))
+    every = F.lit(True)
+    for part in query.split():
+        key, _, value = part.partition(":")
+        if key in ("from", "to", "subject") and value:
+            every = every & has({"from": "sender", "to": "recipient_to", "subject": "subject"}[key], value)
+        elif key in ("after", "before") and value:
+            day = F.lit(value.replace("/", "-")).cast("timestamp_ntz")
+            every = every & (F.col("datetime_utc") >= day if key == "after" else F.col("datetime_utc") < day)
+        else:
+            every = every & (has("subject", part) | has("content", part))
+    return every

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import names as N
 from quillstack.functions import text as X
+from quillstack.operators import copies as C
+from quillstack.operators import encode as E
 from quillstack.operators import graph as G
 from quillstack.operators import mail as M
 from quillstack.operators import quality as Q
@@ -280,6 +282,74 @@ def boilerplate_frequent(t):
     return G.many_to_one(keys, total, "source").where("frequency >= total * 0.3").select("source", "passage", "frequency", F.round(F.least(F.lit(0.95), F.col("frequency") / F.col("total")), 8).alias("confidence"))
 
 
+_B = "select id, bucket, sum(n) as n from (select {i} as id, ('0x' || substr(md5(w), 1, 8))::bigint % 64 as bucket, count(*) as n from (select {i}, unnest(regexp_extract_all(lower({t}), '[a-z0-9]+')) as w from {f}) group by {i}, w) group by 1, 2"
+
+
+@q(f"""with d as ({_B.format(i='doc_id', t='text', f='documents')}), a as ({_B.format(i='k', t='q', f="(select 0 as k, 'roof leak deposit hearing' as q)")}),
+s as (select d.id, sum(d.n * a.n) as dot, sqrt(sum(d.n * d.n)) as size from d left join a using (bucket) group by 1) select id, round(dot / (size * (select sqrt(sum(n * n)) from a)), 8) as sim from s where dot > 0 order by sim desc, id limit 10""")
+def vector_text_search(t):
+    """Texts nearest to a typed query by hashed words."""
+    hits = E.hashed_similarity(t.documents.select(F.col("doc_id").alias("id"), "text"), "roof leak deposit hearing")
+    return hits.select("id", F.round("sim", 8).alias("sim")).orderBy(F.desc("sim"), "id").limit(10)
+
+
+@q("select id, sender, subject from emails where contains(lower(sender), 'orsay') and contains(lower(subject), 'question') and datetime_utc >= timestamp '2022-01-01' and datetime_utc < timestamp '2025-01-01' and contains(lower(content), 'leak')")
+def filter_mail_search(t):
+    """Mail by a search string with from:, subject:, after:, before: and words."""
+    return t.emails.where(N.mail_search("from:orsay subject:question after:2022/01/01 before:2025/01/01 leak")).select("id", "sender", "subject")
+
+
+@q("""with d as (select datetime_utc::date as day, date_trunc('hour', datetime_utc) as hour, count(*) as n, min(id) as first_id from emails where datetime_utc is not null group by 1, 2)
+select day::varchar as day, '## ' || day || chr(10) || string_agg('- ' || strftime(hour, '%H:00') || ' (' || n || ', from ' || first_id || ')', chr(10) order by hour) as section from d group by day""")
+def timeline_markdown(t):
+    """A section of markdown per day, a line per hour: at most 24 lines a day, whatever its load."""
+    hours = t.emails.where("datetime_utc is not null").groupBy(F.to_date("datetime_utc").alias("day"), F.date_trunc("hour", "datetime_utc").alias("hour")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    line = F.concat(F.lit("- "), F.date_format("hour", "HH:00"), F.lit(" ("), F.col("n").cast("string"), F.lit(", from "), F.col("first_id").cast("string"), F.lit(")"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("hour", line.alias("line")))), lambda x: x["line"])
+    return hours.groupBy("day").agg(F.array_join(lines, "\n").alias("lines")).select(F.col("day").cast("string").alias("day"), F.concat(F.lit("## "), F.col("day").cast("string"), F.lit("\n"), "lines").alias("section"))
+
+
+@q(r"""with r as (select doc_id, unnest(regexp_extract_all(text, '\b(?:[Pp]laintiff|[Dd]efendant|[Aa]ttorney|[Jj]udge|[Ww]itness)\b[^A-Z\n]{0,50}([A-Z][a-z]+(?: [A-Z][a-z]+){1,2})\b', 1)) as name from documents)
+select name, count(*) as n, count(distinct doc_id) as n_docs, 0.75 as confidence from r group by 1""")
+def entity_roles(t):
+    """Names of two or three capitalised words within 50 characters behind a word for a role."""
+    rows = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b(?:[Pp]laintiff|[Dd]efendant|[Aa]ttorney|[Jj]udge|[Ww]itness)\b[^A-Z\n]{0,50}([A-Z][a-z]+(?: [A-Z][a-z]+){1,2})\b"), F.lit(1))).alias("name"))
+    return rows.groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs")).withColumn("confidence", F.lit(0.75))
+
+
+@q("select chunk_id, case when status = 'failed' then 'failed before' when coalesce(text_content, '') = '' then 'no text' when char_count is distinct from length(text_content) then 'wrong length' end as fault, count(*) as n from document_chunks group by 1, 2")
+def sink_quarantine(t):
+    """Rows split by the first rule they break; null is a good row."""
+    fault = F.when(F.col("status") == "failed", "failed before").when(F.coalesce("text_content", F.lit("")) == "", "no text").when(~F.col("char_count").eqNullSafe(F.length("text_content")), "wrong length")
+    return t.document_chunks.groupBy("chunk_id", fault.alias("fault")).agg(F.count("*").alias("n"))
+
+
+@q("select id, lower(trim(coalesce(nullif(regexp_extract(sender, '<([^<>]+)>', 1), ''), sender))) as address, trim(regexp_replace(coalesce(subject, ''), '[ \t\n\r\f]+', ' ', 'g')) as subject, length(trim(regexp_replace(coalesce(content, ''), '[ \t\n\r\f]+', ' ', 'g')))::int as n_chars from emails")
+def text_cleaned_mail(t):
+    """Address, subject and body of mails put in order."""
+    address = F.coalesce(F.nullif(F.regexp_extract("sender", "<([^<>]+)>", 1), F.lit("")), "sender")
+    return t.emails.select("id", F.lower(F.trim(address)).alias("address"), X.squeeze(F.coalesce("subject", F.lit(""))).alias("subject"), F.length(X.squeeze(F.coalesce("content", F.lit("")))).alias("n_chars"))
+
+
+@q("""with e as (select md5(id || ':' || coalesce(message_id, '')) as event_id, subject as title, datetime_utc as event_date, least(10, length(coalesce(content, '')) // 500)::int as importance from emails where datetime_utc is not null),
+n as (select count(*) as n, count(distinct event_id) as n_ids, sum(importance)::bigint as weight from e) select * from n""")
+def timeline_created(t):
+    """Events made of mails, with ids that stay the same when they are made again."""
+    key = F.md5(F.concat(F.col("id").cast("string"), F.lit(":"), F.coalesce("message_id", F.lit(""))))
+    weight = F.least(F.lit(10), F.floor(F.length(F.coalesce("content", F.lit(""))) / 500)).cast("int")
+    rows = t.emails.where("datetime_utc is not null").select(key.alias("event_id"), F.col("subject").alias("title"), F.col("datetime_utc").alias("event_date"), weight.alias("importance"))
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_ids"), F.sum("importance").alias("weight"))
+
+
+@q()
+def boilerplate_similar(t):
+    """Passages that are nearly alike in several documents: classes of near copies among distinct passages."""
+    rows = t.documents.select("doc_id", F.explode(F.split("text", "\n\n")).alias("p")).where(F.length(F.trim("p")) > 20).select("doc_id", X.text_key("p").alias("text"))
+    passages = rows.groupBy("text").agg(F.min("doc_id").alias("first_doc"), F.countDistinct("doc_id").alias("n_docs")).withColumn("id", F.xxhash64("text"))
+    groups = C.near_copies(passages.select("id", "text"))
+    return passages.join(groups, "id").groupBy("group_id").agg(F.count("*").alias("n_passages"), F.sum("n_docs").alias("n_docs"), F.min("first_doc").alias("first_doc")).where("n_passages > 1")
+
+
 # --- Raw records and files, made from the tables and read back ---
 def raw_messages(t):
     """Mails as raw records of a mail service: headers, URL-safe base64 and parts."""

@@ -283,3 +283,17 @@ def test_late_rows_of_a_stream(spark, frame, tmp_path):
         ingest.run_available(stream, ingest.updates(str(tmp_path / "out")), str(tmp_path / "state"), "update")
     got = ingest.latest_updates(spark, str(tmp_path / "out"), ["window_start", "kind"])
     assert got.agg({"n": "sum"}).first()[0] == 4
+
+
+def test_vectors_by_a_given_model(frame):
+    from quillstack.operators import encode
+
+    def load():
+        return lambda texts: [[len(t), t.count("a"), 1.0] for t in texts]
+
+    rows = frame("id long, text string, vector int", *[(i, "a" * i, 0) for i in range(1, 600)], (1000, None, 0), (1001, "  ", 0))
+    got = {r["id"]: r["vector"] for r in encode.encoded(rows, load, 3).collect()}
+    assert got[1000] is None and got[1001] is None and all(got[i] == [i, i, 1.0] for i in range(1, 600))
+    with pytest.raises(Exception, match="the model gave"):
+        encode.encoded(rows, load, 4).collect()
+    assert encode.encoded(rows.where("false"), load, 3).count() == 0
