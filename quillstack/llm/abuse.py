@@ -20,6 +20,8 @@ from quillstack.operators.lineage import scratch
 
 #: Labelled documents used, at most, and the probability from which a document counts as abusive.
 MOST_LABELLED, THRESHOLD = 20_000, 0.5
+#: Verdicts that the prior score is worth.
+PRIOR_VERDICTS = 40
 #: Tokens either way in which the second person counts as near.
 NEAR = 6
 
@@ -289,25 +291,27 @@ def isotonic(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarra
 
 
 class Scorer:
-    """Trees and calibration. With fewer than 40 verdicts, or only one kind, the prior alone decides."""
+    """Trees on top of the prior, and calibration. The prior counts as PRIOR_VERDICTS verdicts beside the given ones, so few of them change little."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray):
-        self.trees = None
-        if len(y) >= 40 and (y > 0.5).sum() >= 5 and (y <= 0.5).sum() >= 5:
+        self.trees, self.verdicts = None, len(y)
+        if len(y):
             fold = np.random.default_rng(11).integers(0, 4, len(y))
             held = np.zeros(len(y))
             for k in range(4):
-                held[fold == k] = Boosted().fit(x[fold != k], y[fold != k], w[fold != k]).margin(x[fold == k])
+                mine, rest = fold == k, fold != k
+                held[mine] = Boosted().fit(x[rest], y[rest], w[rest]).margin(x[mine]) if rest.any() else prior(x[mine])
             self.trees = Boosted().fit(x, y, w)
             # A few prior cases at either end keep the calibration sane on few verdicts.
             ends = np.array([-3.0, 3.0])
             self.steps = isotonic(np.concatenate([held, ends]), np.concatenate([y, [0.0, 1.0]]), np.concatenate([w, [2.0, 2.0]]))
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        before = 1 / (1 + np.exp(-prior(x)))
         if self.trees is None:
-            return 1 / (1 + np.exp(-prior(x)))
+            return before
         tops, values = self.steps
-        return np.interp(self.trees.margin(x), tops, values)
+        return (self.verdicts * np.interp(self.trees.margin(x), tops, values) + PRIOR_VERDICTS * before) / (self.verdicts + PRIOR_VERDICTS)
 
 
 def verdicts(labels: DataFrame) -> DataFrame:

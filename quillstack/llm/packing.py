@@ -38,7 +38,7 @@ def encoding(path: str):
 
 
 def count_tokens(text: str, path: str = TOKENIZER) -> int:
-    """Tokens of a text. Very long texts are counted in stretches that end at white space, where the tokenizer may cut anyway."""
+    """Tokens of a text. Very long texts are counted in stretches that end before white space, where the tokenizer cuts anyway; one without any stays whole."""
     enc = encoding(path)
     if len(text) <= STRETCH:
         return len(enc.encode_ordinary(text))
@@ -47,7 +47,7 @@ def count_tokens(text: str, path: str = TOKENIZER) -> int:
         end = min(len(text), at + STRETCH)
         if end < len(text):
             space = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
-            end = space if space > at else end
+            end = space if space > at else min((k for k in (text.find(" ", end), text.find("\n", end)) if k >= 0), default=len(text))
         n += len(enc.encode_ordinary(text[at:end]))
         at = end
     return n
