@@ -21,7 +21,7 @@ from quillstack.operators.lineage import scratch
 #: Labelled documents used, at most, and the probability from which a document counts as abusive.
 MOST_LABELLED, THRESHOLD = 20_000, 0.5
 #: Verdicts that the prior score is worth.
-PRIOR_VERDICTS = 40
+PRIOR_VERDICTS = 4
 #: Tokens either way in which the second person counts as near.
 NEAR = 6
 
