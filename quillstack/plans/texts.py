@@ -114,12 +114,12 @@ def entity_grouped_by_mail(t):
 
 # --- Matters ---
 _TYPES = ["complaint", "answer", "motion", "order", "judgment", "deposition", "discovery", "notice", "settlement"]
-_HAS = ", ".join(f"bool_or(contains(lower(coalesce(title, '') || ' ' || left(coalesce(text, ''), 500)), '{k}')) as has_{k}" for k in _TYPES)
+_HAS = ", ".join(f"bool_or(contains(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '{k}')) as has_{k}" for k in _TYPES)
 
 
 def matter_types(t):
-    """Kinds of document by words in the title or the first 500 characters of the text, which is how the reference defines them."""
-    head = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, 500)))
+    """Kinds of document by words in the title or anywhere in the text."""
+    head = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))))
     rows = t.documents.where("matter_id is not null")
     return rows.groupBy("matter_id").agg(*[F.bool_or(F.contains(head, F.lit(k))).alias(f"has_{k}") for k in _TYPES])
 
@@ -188,10 +188,14 @@ def thread_contradictions(t):
     return g.where("positive > 0 and negative > 0 and n > 1")
 
 
-@q("select thread_id, id, row_number() over (partition by thread_id order by datetime_utc nulls first, id) as place, left(trim(regexp_replace(coalesce(content, ''), '[ \\t\\n\\r\\f]+', ' ', 'g')), 80) as opening from emails where thread_id is not null")
+@q(r"""select thread_id, id, row_number() over (partition by thread_id order by datetime_utc nulls first, id) as place,
+array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(content, ''), '[.!?]+')[1:2], lambda x: trim(regexp_replace(x, '[ \t\n\r\f]+', ' ', 'g'))), lambda x: x <> ''), '. ') as opening from emails where thread_id is not null""")
 def thread_narrative(t):
+    """The first two sentences of every mail of a thread, in order of time."""
     w = Window.partitionBy("thread_id").orderBy(F.asc_nulls_first("datetime_utc"), "id")
-    return t.emails.where("thread_id is not null").select("thread_id", "id", F.row_number().over(w).cast("long").alias("place"), F.substring(X.squeeze(F.coalesce("content", F.lit(""))), 1, 80).alias("opening"))
+    two = F.slice(F.split(F.coalesce("content", F.lit("")), "[.!?]+"), 1, 2)
+    opening = F.array_join(F.filter(F.transform(two, lambda x: X.squeeze(x)), lambda x: x != ""), ". ")
+    return t.emails.where("thread_id is not null").select("thread_id", "id", F.row_number().over(w).cast("long").alias("place"), opening.alias("opening"))
 
 
 @q("select id, thread_id, case when contains(lower(content), 'denies') or contains(lower(content), 'dispute') then 'negative' when contains(lower(content), 'confirm') or contains(lower(content), 'admit') then 'affirmative' else 'neutral' end as position from emails where content is not null and contains(lower(content), 'leak')")
