@@ -176,9 +176,9 @@ def cluster_assigned(t):
     return V.assigned(v.where("id % 10 = 0").select("id", "vector"), v.where("id % 10 <> 0"), members=10, least=0.6).select("id", "cluster", F.round("sim", 6).alias("sim"))
 
 
-@q(r"""with w as (select doc_id, text, doc_type, lower(text) as low, length(text)::double as n from documents where length(trim(text)) > 0),
+@q(r"""with w as (select doc_id, text, lower(text) as low, string_split(regexp_replace(lower(text), '\s+', ' ', 'g'), '') as cs, length(text)::double as n from documents where length(trim(text)) > 0),
 m as (select doc_id, n::bigint as n_chars, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / n as alpha, length(regexp_replace(text, '[^0-9.,;:!?()\[\]{}"''-]', '', 'g')) / n as noise, length(regexp_replace(text, '[^&=%£€<>©#@$*+^~|\\]', '', 'g')) / n as symbols,
- len(list_distinct(list_filter(list_transform(range(1, length(regexp_replace(low, '\s+', ' ', 'g'))), lambda i: substr(regexp_replace(low, '\s+', ' ', 'g'), i, 2)), lambda b: regexp_matches(b, '^[a-z][a-z]$')))) as bigrams, regexp_extract_all(low, '[a-z0-9_]+') as ws from w),
+ len(list_distinct(list_filter(list_transform(list_zip(cs[:-2], cs[2:]), lambda p: p[1] || p[2]), lambda b: regexp_matches(b, '^[a-z][a-z]$')))) as bigrams, regexp_extract_all(low, '[a-z0-9_]+') as ws from w),
 s as (select *, case when len(ws) = 0 then 0.0 else len(list_filter(ws, lambda x: list_contains(['the', 'and', 'of', 'to', 'in', 'a', 'is', 'that', 'for', 'was', 'on', 'with', 'as', 'by', 'at', 'be', 'or', 'from', 'this', 'not'], x)))::double / len(ws) end as hits from m)
 select doc_id, n_chars, bigrams::bigint as bigrams, round(0.25 * least(alpha / 0.55, 1.0) + 0.15 * greatest(0.0, 1 - noise / 0.35) + 0.15 * greatest(0.0, 1 - symbols / 0.15) + 0.15 * least(bigrams / 200.0, 1.0) + 0.2 * least(hits / 0.35, 1.0) + 0.1 * least(n_chars / 300.0, 1.0), 3) as score,
  array_to_string(list_filter([case when n_chars < 1500 and n_chars < 300 then 'insufficient_content' end, case when alpha < 0.55 then 'low_alpha_ratio' end, case when noise > 0.35 then 'high_noise_ratio' end, case when symbols > 0.15 then 'high_symbol_ratio' end, case when bigrams < 200 then 'low_bigram_diversity' end, case when hits < 0.35 then 'low_english_hits' end], lambda x: x is not null), ',') as reasons from s""")
